@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linesieve-ckpt-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder, for tables that an operator keeps."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (shared folder), cutting its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

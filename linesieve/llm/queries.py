@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import heavy_hitters as hh
 from . import key_filter
+from .common import shared_folder
+from .history import LineHistory
+from .key_filter import HISTORY
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,21 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_filter.answer_rates(_table(spark, sf_dir, "work_item_t"), _table(spark, sf_dir, "accepted_lines"))
 
 
+def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = LineHistory(spark, shared_folder(spark, "line-history"))
+    accepted = _table(spark, sf_dir, "accepted_lines").withColumn("batch_id", F.lit(HISTORY))
+    history.ingest(accepted, "accepted", id_col="line_id")
+    return history.ingest(_table(spark, sf_dir, "work_item_t"), "batches", keep=False)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir).where("exact or near").select(F.col("id").alias("item_id"))
+
+
+def p4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir).select(F.col("id").alias("item_id"), "exact", "near")
+
+
 #: p5: a line is heavy from this share of the grand total on.
 HEAVY_SHARE = 1 / 400
 
