@@ -12,12 +12,22 @@ from . import key_filter
 from .common import shared_folder
 from .history import LineHistory
 from .key_filter import HISTORY
+from .term_counts import term_statistics
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = term_statistics(_table(spark, sf_dir, "work_item_t"), only=1)
+    return terms.where("mark is not null").select("term", "mark")
+
+
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_statistics(_table(spark, sf_dir, "work_item_t"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = key_filter.seen_before(_table(spark, sf_dir, "work_item_t"), _table(spark, sf_dir, "accepted_lines"))
     return seen.where("seen").select(F.col("id").alias("item_id"))
@@ -68,7 +78,20 @@ _ONCE = "select src, ord, any_value(line) as line, any_value(cnt) as cnt from wo
 
 
 def oracle_sql() -> dict[str, str]:
+    terms = f"""
+            once as ({_ONCE}),
+            lists as (select row_number() over () as r, coalesce(cnt, 1) as w, list_filter(string_split(line, ' '), lambda x: x <> '') as t from once where line is not null),
+            places as (select r, w, t, unnest(range(1, len(t) + 1)) as i from lists)"""
+    mark = "case when records < 3 then 'rare' when records > 0.01 * (select count(*) from once) then 'common' end"
     return {
+        "p2_found": f"""
+            with {terms}, counts as (select t[i] as term, count(distinct r) as records from places group by 1)
+            select * from (select term, {mark} as mark from counts) where mark is not null""",
+        "p2_terms": f"""
+            with {terms},
+            phrases as (select r, w, t[i] as term, 1 as n_terms from places union all select r, w, t[i] || ' ' || t[i + 1], 2 from places where i < len(t)),
+            counts as (select term, cast(n_terms as int) as n_terms, cast(sum(w) as bigint) as occurrences, count(distinct r) as records from phrases group by 1, 2)
+            select *, {mark} as mark from counts""",
         "p3_found": """
             select w.item_id from work_item_t w
             join (select line, min(item_id) as first_id from work_item_t where line is not null group by line) f on w.line = f.line
