@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import heavy_hitters as hh
-from . import key_filter
+from . import key_filter, mixing, packing
 from .common import shared_folder
 from .history import LineHistory
 from .key_filter import HISTORY
 from .term_counts import term_statistics
+from .tokens import with_sizes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,34 @@ def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heavy(spark, sf_dir).select("line", "total", F.round("estimate").cast("long").alias("estimate"), "grand_total")
 
 
+def _sizes(spark: SparkSession, sf_dir: str, **keep: str) -> DataFrame:
+    return with_sizes(_table(spark, sf_dir, "documents"), keep=keep)
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), _table(spark, sf_dir, "containers"))
+
+
+def p6_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir)
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unused(_placed(spark, sf_dir), _table(spark, sf_dir, "containers"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir, source="source"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
