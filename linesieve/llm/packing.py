@@ -41,7 +41,7 @@ def enumerate_patterns(present: np.ndarray, classes: int, limit: int = PATTERNS)
         if not len(a):
             continue
         rest = classes - m * a
-        step = max(1, int(np.ceil(rest.sum() / 2 / max(1, for_m * 1.0))))
+        step = max(1, int(np.ceil(rest.sum() / (6 if m == 1 else 2) / for_m)))
         b = np.arange(0, classes, step)
         A, Bm = np.meshgrid(a, b, indexing="ij")
         C = classes - m * A - Bm
@@ -60,10 +60,15 @@ def enumerate_patterns(present: np.ndarray, classes: int, limit: int = PATTERNS)
 
 
 def nnls(sizes: np.ndarray, repeats: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 minimising |A x - target|, by accelerated projected gradient; column p of A has ``repeats[p]`` at ``sizes[p]``."""
+    """x >= 0 minimising |W (A x - target)|, by accelerated projected gradient; column p of A has ``repeats[p]`` at ``sizes[p]``.
+
+    W weighs a class by its size: a large document left over wastes more and is harder to place.
+    """
     n, size = len(sizes), len(target)
     flat, weight = sizes.ravel(), repeats.astype(float).ravel()
-    weight = np.where(flat > 0, weight, 0.0)
+    w = np.arange(size) / size
+    weight = np.where(flat > 0, weight, 0.0) * w[flat]
+    target = target * w
     forward = lambda x: np.bincount(flat, weight * np.repeat(x, 3), size)
     back = lambda y: (weight * y[flat]).reshape(n, 3).sum(axis=1)
     v = np.ones(n) / np.sqrt(n)
@@ -119,8 +124,10 @@ def make_plan(capacity: int, lengths: np.ndarray, counts: np.ndarray) -> Plan:
     if len(sizes):
         x = nnls(sizes, repeats, target)
         free = hist.copy()
-        for p in np.argsort(-x, kind="stable"):
-            n = int(x[p] + 0.5)
+        # Systematic rounding: the running sum is rounded, so that many small repeat counts keep their weight.
+        whole = np.diff(np.floor(np.r_[0.0, np.cumsum(x)] + 0.5)).astype(np.int64)
+        for p in np.lexsort((-x, -whole)):
+            n = int(whole[p])
             if n < 1:
                 break
             need: dict[int, int] = {}
