@@ -60,8 +60,8 @@ def fly(tokens: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
 def land(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Landing phase: the undecided records take the rounding nearest in tokens, then in documents.
 
-    What this misses in tokens is then mended, as far as possible, by one exchange of a chosen record for
-    another one, or by adding or dropping one record, whichever comes nearest.
+    What this misses in tokens is then mended, as far as possible, by exchanging a chosen record for another
+    one, or by adding or dropping one record, whichever comes nearest; each step must come nearer.
     """
     want, docs = float((tokens * p).sum()), float(p.sum())
     p = p.copy()
@@ -73,10 +73,12 @@ def land(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
         t, w, d = tokens[free].astype(float), float((tokens[free] * p[free]).sum()), float(p[free].sum())
         picks = [np.array([(m >> i) & 1 for i in range(len(free))], float) for m in range(1 << len(free))]
         p[free] = min(picks, key=lambda x: (abs(float((t * x).sum()) - w), abs(float(x.sum()) - d)))
-    miss = want - float((tokens * p).sum())
-    ways = [(abs(miss), 0.0, ())]
-    ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
-    if abs(miss) >= 0.5:
+    for _ in range(64):
+        miss = want - float((tokens * p).sum())
+        ways = [(abs(miss), 0.0, ())]
+        ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if abs(miss) < 0.5:
+            break
         if len(outs):
             i = int(outs[np.argmin(np.abs(tokens[outs] - miss))])
             ways.append((abs(miss - tokens[i]), abs(p.sum() + 1 - docs), (i,)))
@@ -91,7 +93,10 @@ def land(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
                 left = np.abs(tokens[ins] + miss - tokens[j])
                 k = int(np.argmin(left))
                 ways.append((float(left[k]), abs(p.sum() - docs), (int(ins[k]), int(j[k]))))
-        for i in min(ways)[2]:
+        change = min(ways)[2]
+        if not change:
+            break
+        for i in change:
             p[i] = 1.0 - p[i]
     return p
 
