@@ -137,22 +137,21 @@ def rates(available: dict[str, float], targets: dict[str, tuple[float, int]], to
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, block: int = 50_000) -> DataFrame:
-    """``id, source, n_tokens, repeats`` of every record that is used at least once.
+    """``id, source, n_tokens, repeats`` of every record; ``repeats`` 0 means that it isn't used.
 
     ``sizes``: ``id``, ``source``, ``n_tokens``; ``targets``: ``source``, ``target_share``, ``max_repeats``, a
-    few rows. Sources are compared by :func:`normal_source`. Records without source, target, id or tokens
-    aren't used. Without any usable target the result is empty. Ties and equal sizes need no care: the
-    document constraint alone then moves the fractions.
+    few rows. Sources are compared by :func:`normal_source`. Records without source, target or tokens
+    have 0 repeats; rows with a null id are left out, ids are unique. Ties and equal sizes need no care:
+    the document constraint alone then moves the fractions.
     """
-    spark = sizes.sparkSession
-    sizes = cut(sizes.select("id", normal_source(F.col("source")).alias("source"), "n_tokens").where("n_tokens > 0 and id is not null and source is not null"))
+    sizes = cut(sizes.select("id", normal_source(F.col("source")).alias("source"), "n_tokens").where("id is not null"))
     got = {r["source"]: (float(r["share"]), int(r["cap"])) for r in targets.where("source is not null and target_share is not null and max_repeats is not null").groupBy(normal_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}
-    have = {r["source"]: (float(r["t"]), int(r["n"])) for r in sizes.where(F.col("source").isin(list(got))).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()} if got else {}
+    have = {r["source"]: (float(r["t"]), int(r["n"])) for r in sizes.where(F.col("source").isin(list(got)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()} if got else {}
     rate = rates({s: t for s, (t, _) in have.items()}, got, total_tokens)
     if not rate:
-        return spark.createDataFrame([], "id bigint, source string, n_tokens bigint, repeats bigint")
+        return sizes.withColumn("repeats", F.lit(0).cast("bigint"))
     r = F.create_map(*(x for s, v in rate.items() for x in (F.lit(s), F.lit(v))))[F.col("source")]
-    wanted = sizes.where(F.col("source").isin(list(rate))).withColumn("r", r)
+    wanted = sizes.withColumn("r", F.when(F.col("n_tokens") > 0, F.coalesce(r, F.lit(0.0))).otherwise(0.0))
     whole = wanted.withColumn("whole", F.floor("r"))
     parts = F.create_map(*(x for s in rate for x in (F.lit(s), F.lit(max(1, -(-have[s][1] // block))))))[F.col("source")]
     part = whole.where((F.col("r") - F.col("whole")) > _EPS).select("source", "id", "n_tokens", (F.col("r") - F.col("whole")).alias("p"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
@@ -167,13 +166,12 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: float | None = No
     for d in decided:
         taken = taken.unionByName(d)
     extra = taken.where("p = 1").select("id", F.lit(1).alias("extra"))
-    out = whole.join(extra, "id", "left").withColumn("repeats", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("bigint"))
-    return out.where("repeats > 0").select("id", "source", "n_tokens", "repeats")
+    return whole.join(extra, "id", "left").select("id", "source", "n_tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("bigint").alias("repeats"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual share of each source in tokens, the records and uses behind it, and the difference."""
-    per = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("records"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most_repeats"))
+    per = mixed.where("repeats > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("records"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most_repeats"))
     total = per.agg(F.sum("tokens").alias("total"))
     wanted = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
