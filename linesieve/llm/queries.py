@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import heavy_hitters as hh
-from . import key_filter, mixing, packing
+from . import encoding, key_filter, mixing, packing
 from .common import shared_folder
 from .history import LineHistory
 from .key_filter import HISTORY
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(_table(spark, sf_dir, "work_item_t")).select(F.col("id").alias("item_id"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repaired(_table(spark, sf_dir, "work_item_t")).withColumnRenamed("id", "item_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = term_statistics(_table(spark, sf_dir, "work_item_t"), only=1)
     return terms.where("mark is not null").select("term", "mark")
