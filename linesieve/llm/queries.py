@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import heavy_hitters as hh
-from . import encoding, key_filter, mixing, packing
+from . import encoding, key_filter, mixing, packing, toxicity
 from .common import shared_folder
 from .history import LineHistory
 from .key_filter import HISTORY
@@ -107,6 +107,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "review_labels"))
+    return toxicity.scored(docs, model, keep={"source": "source"}), model.threshold
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, threshold = _scores(spark, sf_dir)
+    return scores.where(F.col("score") >= threshold).select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(*_scores(spark, sf_dir))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)[0].select(F.col("id").alias("doc_id"), "source", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
