@@ -1,4 +1,4 @@
-"""Named queries over the test tables and the SQL that must give the same rows."""
+"""Named queries over the test tables, each over whole tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -7,23 +7,378 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formats, validate
+from ..functions.hashing import Md5
+from ..functions.sizing import BloomParams, bloom_params, level_error, scaling_params
+from ..operators import bloom, counting, exact, scaling, stats
+from ..options import LEAST_CAPACITY, MOST_FILE_CAPACITY
+from ..runtime import shared_folder
+from ..sources.text import column_lines, line_key
+from ..streaming import dedup
+
+MD5 = Md5()
+#: A filter of the usual size, and one far too small for its input.
+USUAL, SMALL = bloom_params(10_000, 0.01), bloom_params(1000, 0.1)
+EVENT_FILTER = bloom_params(1000, 0.01)
+BUCKETS, BUCKET_FILTER = 16, bloom_params(1000, 0.01)
+PREFIX = 8191
+SCALING_CASES = [(1000, 0.5), (1000, 0.01), (100_000, 0.01), (1_000_000, 0.01), (1_000_000, 0.001)]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 1) and ``line`` of every line of every document text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+    """``doc_id``, ``line_no`` (from 1), ``ord`` and ``line`` of every line of every document text."""
+    lines = column_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "source")
+    return lines.withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("line_no"))
+
+
+def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
+
+
+def uniq_lines(spark, sf_dir):
+    """Each distinct line with the order of its first occurrence."""
+    return exact.first_occurrences(document_lines(spark, sf_dir), "line", "ord")
+
+
+def uniq_docs(spark, sf_dir):
+    """B1: whole documents, the first of each text; the null text is one key."""
+    return exact.unique_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "doc_id").select("doc_id", "lang")
+
+
+def uniq_work_lines(spark, sf_dir):
+    """B1 over the largest table, hot lines and nulls included."""
+    return exact.first_occurrences(table(spark, sf_dir, "work_item_t").select("line", "item_id"), "line", "item_id")
+
+
+def dup_lines(spark, sf_dir):
+    """Every occurrence but the first."""
+    return exact.repeats(document_lines(spark, sf_dir), "line", "ord").select("ord", "line")
+
+
+def dup_groups(spark, sf_dir):
+    """Repeated lines, one row each."""
+    return exact.repeated_keys(document_lines(spark, sf_dir), "line", "ord")
+
+
+def once_lines(spark, sf_dir):
+    """Lines that occur once."""
+    return exact.single_keys(document_lines(spark, sf_dir), "line", "ord").select("line", "ord")
+
+
+def line_counts(spark, sf_dir):
+    """Occurrences of each line."""
+    return exact.counts(document_lines(spark, sf_dir), "line", "ord")
+
+
+def work_line_totals(spark, sf_dir):
+    """C9 with weights: rows and recorded counts of each work line."""
+    return exact.counts(table(spark, sf_dir, "work_item_t"), "line", "item_id", weight="cnt")
+
+
+def top_dups(spark, sf_dir):
+    """The 100 most frequent lines, ties by line."""
+    return exact.top_repeated(document_lines(spark, sf_dir), "line", "ord", 100)
+
+
+def result_flags(spark, sf_dir):
+    """P5: 1 for a first occurrence, 0 for a repeat."""
+    lines = document_lines(spark, sf_dir).select("ord", "line")
+    firsts = exact.first_occurrences(lines, "line", "ord").select(F.col("ord").alias("first"))
+    return lines.join(firsts, F.col("ord") == F.col("first"), "left").select("ord", F.col("first").isNotNull().cast("int").alias("cnt"))
+
+
+def strict_line_counts(spark, sf_dir):
+    """L2: a final line without newline is another key."""
+    rows = table(spark, sf_dir, "work_item_t").select("item_id", line_key(F.col("line"), F.coalesce("had_newline", F.lit(True))).alias("key"))
+    return exact.counts(rows, "key", "item_id").select("key", "cnt", F.col("item_id").alias("first_item"))
+
+
+def dedup_stats(spark, sf_dir):
+    """A1, A2: counters over all document lines."""
+    return stats.line_statistics(document_lines(spark, sf_dir), "line")
+
+
+def dedup_stats_by_lang(spark, sf_dir):
+    """A2 per language."""
+    return stats.line_statistics(table(spark, sf_dir, "documents").select("lang", "text"), "text", ["lang"])
+
+
+def run_rates(spark, sf_dir):
+    """Throughput and share of duplicates of the reported runs."""
+    total, dup = F.col("total_lines"), F.col("duplicate_lines")
+    share = F.when(total > 0, dup / total).otherwise(0.0)
+    return table(spark, sf_dir, "run_statistics").select("run_id", F.round(stats.throughput(total, F.col("processing_time")), 3).alias("throughput"), F.round(share, 6).alias("duplicate_share"))
+
+
+def truncated_lines(spark, sf_dir):
+    """Byte prefixes of over-long lines, in hex."""
+    lines = table(spark, sf_dir, "work_item_t").select("item_id", "line").where(F.octet_length("line") > PREFIX)
+    return lines.select("item_id", F.lower(F.hex(formats.prefix_bytes(F.col("line"), PREFIX))).alias("prefix"))
+
+
+def truncated_uniq(spark, sf_dir):
+    """L3: first occurrences of lines cut to a byte prefix of 64, counted by the prefix in hex."""
+    key = F.lower(F.hex(formats.prefix_bytes(F.col("line"), 64))).alias("prefix")
+    return exact.counts(table(spark, sf_dir, "work_item_t").select("item_id", key), "prefix", "item_id")
+
+
+def json_escape(spark, sf_dir):
+    """O4."""
+    return table(spark, sf_dir, "work_item_t").select("item_id", formats.json_escaped(F.col("line")).alias("escaped"))
+
+
+def csv_escape(spark, sf_dir):
+    """O3."""
+    return table(spark, sf_dir, "documents").select("doc_id", formats.csv_quoted(F.col("text")).alias("quoted"))
+
+
+def tsv_text(spark, sf_dir):
+    """O1, O2: a line as it is."""
+    return uniq_work_lines(spark, sf_dir).select("line")
+
+
+def valid_paths(spark, sf_dir):
+    """S8 over the work lines, many of which are paths."""
+    return table(spark, sf_dir, "work_item_t").select("item_id", validate.valid_path_column(F.col("line")).alias("valid"))
+
+
+def valid_filenames(spark, sf_dir):
+    """S9."""
+    return table(spark, sf_dir, "work_item_t").select("item_id", validate.valid_filename_column(F.col("line")).alias("valid"))
+
+
+def bloom_info(spark, sf_dir):
+    """Sizes of the listed filters (a small fixed table)."""
+    listed = table(spark, sf_dir, "filter_info").select("entries", "error").distinct().collect()
+    got = bloom.info(spark, [bloom_params(r["entries"], r["error"]) for r in listed])
+    return got.withColumn("bpe", F.round("bpe", 6))
+
 
+def capacity_estimates(spark, sf_dir):
+    """The capacity chosen for a file of each document's size."""
+    n = F.octet_length("text").cast("bigint")
+    capacity = F.greatest(F.lit(LEAST_CAPACITY), F.least(F.lit(MOST_FILE_CAPACITY), F.floor(F.floor(n / 20) * 3 / 2)))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", capacity.cast("bigint").alias("capacity"))
 
-def uniq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct line with the place of its first occurrence."""
-    at = F.struct("doc_id", "line_no")
-    first = document_lines(spark, sf_dir).groupBy("line").agg(F.min(at).alias("at"))
-    return first.select("line", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").cast("bigint").alias("line_no"))
+
+def bloom_positions(spark, sf_dir):
+    """H3, H4: positions of each accepted line."""
+    at = MD5.positions(F.col("line"), USUAL.hashes, USUAL.bits)
+    return table(spark, sf_dir, "accepted_lines").select("line_id", F.posexplode(at).alias("i", "pos")).select("line_id", F.col("i").cast("bigint").alias("i"), "pos")
+
+
+def bloom_uniq_lines(spark, sf_dir):
+    """A sequential filter, bit by bit."""
+    return bloom.unique(document_lines(spark, sf_dir), "line", "ord", USUAL, MD5)
+
+
+def bloom_uniq_small_filter(spark, sf_dir):
+    """B4 with false positives."""
+    return bloom.unique(document_lines(spark, sf_dir), "line", "ord", SMALL, MD5)
+
+
+def bloom_bits(spark, sf_dir):
+    """The filter itself."""
+    return bloom.build(document_lines(spark, sf_dir), "line", "ord", USUAL, MD5)
+
+
+def _probe(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    lines = document_lines(spark, sf_dir).select("ord", "line", "source")
+    main = F.coalesce(F.col("source") == "wiki_main", F.lit(False))
+    return bloom.build(lines.where(main), "line", "ord", USUAL, MD5), lines.where(~main).select("ord", "line")
+
+
+def bloom_probe(spark, sf_dir):
+    """Lines of other sources that the filter of one source knows."""
+    model, rest = _probe(spark, sf_dir)
+    return bloom.semi(rest, "line", model, USUAL, MD5)
+
+
+def bloom_anti(spark, sf_dir):
+    """Lines of other sources that the filter doesn't know."""
+    model, rest = _probe(spark, sf_dir)
+    return bloom.anti(rest, "line", model, USUAL, MD5)
+
+
+def bloom_fpr(spark, sf_dir):
+    """A3: lines lost by the filter."""
+    return bloom.measured_error(document_lines(spark, sf_dir), "line", "ord", USUAL, MD5)
+
+
+def partitioned_bloom_uniq(spark, sf_dir):
+    """Independent filters by bucket."""
+    bucket = (F.conv(F.substring(F.md5(F.col("line").cast("binary")), 31, 2), 16, 10).cast("int") % BUCKETS).cast("int")
+    return bloom.partitioned_unique(document_lines(spark, sf_dir), "line", "ord", BUCKET_FILTER, BUCKETS, MD5, bucket)
+
+
+def cbf_count_est(spark, sf_dir):
+    """C4: estimated frequency of event keys, saturating at 15."""
+    keys = event_keys(spark, sf_dir)
+    return counting.estimates(keys, "key", counting.counters(keys, "key", EVENT_FILTER, MD5), EVENT_FILTER, MD5)
+
+
+def cbf_prior_count(spark, sf_dir):
+    """Count before each row."""
+    return counting.prior_counts(document_lines(spark, sf_dir), "line", "ord", USUAL, MD5).select("ord", "prior")
+
+
+def cbf_insertions(spark, sf_dir):
+    """Insertions in all, and those that seemed new."""
+    return counting.insertion_statistics(counting.prior_counts(document_lines(spark, sf_dir), "line", "ord", USUAL, MD5))
+
+
+def cbf_after_remove(spark, sf_dir):
+    """Estimates after the rows of one event type were removed again."""
+    keys = event_keys(spark, sf_dir)
+    plus = counting.counters(keys, "key", EVENT_FILTER, MD5)
+    minus = counting.counters(keys.where("event_type = 'error'"), "key", EVENT_FILTER, MD5, sign=-1)
+    return counting.estimates(keys, "key", counting.merged(plus, minus), EVENT_FILTER, MD5)
+
+
+def scaling_sizes(spark, sf_dir):
+    """Parameters of the first sub-filters of several scaling filters."""
+    rows = []
+    for capacity, error in SCALING_CASES:
+        for level in range(4):
+            p = scaling_params(capacity, level_error(error, level))
+            rows.append((capacity, error, level, p.hashes, p.per_hash))
+    return spark.createDataFrame(rows, "capacity bigint, error double, level int, hashes int, per_hash bigint")
+
+
+def scaling_uniq(spark, sf_dir):
+    """A scaling filter with about eight sub-filters."""
+    lines = document_lines(spark, sf_dir).select("line", "ord")
+    n = lines.agg(F.approx_count_distinct("line")).first()[0]
+    return scaling.scaling_unique(lines, "line", "ord", max(1000, n // 8), 0.01).accepted
+
+
+def union_uniq(spark, sf_dir):
+    """Set union: first occurrences over accepted lines and work lines."""
+    a = table(spark, sf_dir, "accepted_lines").select("line", F.col("line_id").alias("ord"))
+    b = table(spark, sf_dir, "work_item_t").select("line", (F.col("item_id") + 1_000_000_000_000).alias("ord"))
+    return exact.first_occurrences(a.unionByName(b), "line", "ord")
+
+
+def incremental_new(spark, sf_dir):
+    """G11, exact: work lines that aren't among the accepted lines."""
+    return exact.new_rows(table(spark, sf_dir, "work_item_t").select("line", "item_id"), table(spark, sf_dir, "accepted_lines"), "line", "item_id")
+
+
+def approx_distinct(spark, sf_dir):
+    """Approximate distinct lines of each source file, by a sketch."""
+    return table(spark, sf_dir, "work_item_t").groupBy("src").agg(F.approx_count_distinct("line", 0.02).alias("distinct_lines"))
+
+
+def stream_uniq(spark, sf_dir):
+    """Event keys read as a stream to its end, exactly deduplicated."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, since a stream reads folders and patterns but no single file
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    keys = dedup.unique_stream(events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key")), "key")
+    out = shared_folder(spark, "stream-uniq")
+    keys.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string").parquet(f"{out}/rows")
+
+
+_NO_QUERIES = ("table", "document_lines", "event_keys", "queries", "oracle_sql", "shared_folder", "column_lines", "line_key", "bloom_params", "level_error", "scaling_params")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"uniq_lines": uniq_lines}
+    return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n not in _NO_QUERIES and n[0] != "_"}
+
+
+_LINES = """lines as (
+    select doc_id, source, line_no, doc_id * 1000000 + line_no as ord, line from (
+        select doc_id, source, unnest(l) as line, unnest(range(1, len(l) + 1)) as line_no
+        from (select doc_id, source, string_split(text, chr(10)) as l from documents where text is not null)))"""
+_FIRSTS = f"{_LINES}, firsts as (select line, min(ord) as ord from lines group by line)"
+
+
+def _positions(rows: str, key: str, p: BloomParams, keep: str) -> str:
+    """SQL: ``keep`` columns and one ``pos`` per hash function of each row."""
+    m = p.bits
+    return f"""(select distinct {keep}, (a % {m} + i * (b % {m})) % {m} as pos from (
+        select {keep}, ('0x' || substr(md5({key}), 1, 15))::bigint as a, ('0x' || substr(md5({key}), 16, 15))::bigint as b, unnest(range(0, {p.hashes})) as i from {rows}))"""
+
+
+def _bloom_unique(p: BloomParams) -> str:
+    return f"""with {_FIRSTS}, own as (select distinct o from (select pos, min(ord) as o from {_positions('firsts', 'line', p, 'ord')} group by pos))
+        select line, ord from firsts where ord in (select o from own)"""
+
+
+def _hits(p: BloomParams) -> str:
+    return f"""{_LINES},
+        main as (select line, min(ord) as ord from lines where coalesce(source = 'wiki_main', false) group by line),
+        rest as (select ord, line from lines where not coalesce(source = 'wiki_main', false)),
+        bits as (select distinct pos from {_positions('main', 'line', p, 'ord')}),
+        hit as (select line from {_positions('(select distinct line from rest)', 'line', p, 'line')} q left join bits on q.pos = bits.pos group by line having count(*) = count(bits.pos))"""
+
+
+def _estimates(p: BloomParams, weights: str) -> str:
+    return f"""with keys as (select user_id || '|' || event_type as key, event_type from events),
+        spots as (select * from {_positions('(select distinct key from keys)', 'key', p, 'key')}),
+        c as (select key, sum({weights}) as c from keys group by key),
+        n as (select pos, sum(c) as n from spots join c using (key) group by pos)
+        select key, cast(least(min(greatest(n, 0)), 15) as int) as estimate from spots join n using (pos) group by key"""
+
+
+def _priors() -> str:
+    return f"""with {_LINES}, spots as (select ord, pos, row_number() over (partition by pos order by ord) - 1 as n from {_positions('lines', 'line', USUAL, 'ord')}),
+        priors as (select ord, cast(least(min(n), 15) as int) as prior from spots group by ord)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ok_path = "strlen(line) > 0 and strlen(line) < 4096 and line <> '..' and regexp_full_match(line, '[ -~]*') and not contains(line, '../') and not contains(line, '/..') and not contains(line, '//')"
+    bad = " and ".join(f"not contains(line, '{c}')" for c in validate.BAD_IN_NAME)
+    ok_name = f"strlen(line) > 0 and strlen(line) < 255 and not starts_with(line, '.') and upper(line) not in ('CON', 'PRN', 'AUX', 'NUL') and {bad}"
+    cases = ", ".join(f"({c}, {e!r}::double)" for c, e in SCALING_CASES)
+    return {
+        "uniq_lines": f"with {_FIRSTS} select line, ord from firsts",
+        "uniq_docs": "select doc_id, lang from documents where doc_id in (select min(doc_id) from documents group by text)",
+        "uniq_work_lines": "select line, min(item_id) as item_id from work_item_t group by line",
+        "dup_lines": f"with {_FIRSTS} select ord, line from lines where ord not in (select ord from firsts)",
+        "dup_groups": f"with {_LINES} select line, count(*) as cnt, min(ord) as ord from lines group by line having count(*) > 1",
+        "once_lines": f"with {_LINES} select line, min(ord) as ord from lines group by line having count(*) = 1",
+        "line_counts": f"with {_LINES} select line, count(*) as cnt, min(ord) as ord from lines group by line",
+        "work_line_totals": "select line, cast(sum(coalesce(cnt, 1)) as bigint) as cnt, min(item_id) as item_id from work_item_t group by line",
+        "top_dups": f"with {_LINES} select line, count(*) as cnt, min(ord) as ord from lines group by line order by cnt desc, line nulls first limit 100",
+        "result_flags": f"with {_FIRSTS} select ord, cast(ord in (select ord from firsts) as int) as cnt from lines",
+        "strict_line_counts": "select key, count(*) as cnt, min(item_id) as first_item from (select item_id, line || case when coalesce(had_newline, true) then chr(10) else '' end as key from work_item_t) group by key",
+        "dedup_stats": f"with {_LINES} select count(*) as total_lines, count(distinct line) as unique_lines, count(*) - count(distinct line) as duplicate_lines from lines",
+        "dedup_stats_by_lang": "select lang, cast(sum(c) as bigint) as total_lines, count(*) as unique_lines, cast(sum(c) - count(*) as bigint) as duplicate_lines from (select lang, text, count(*) as c from documents group by lang, text) group by lang",
+        "run_rates": "select run_id, round(case when processing_time > 0 then total_lines / processing_time else 0 end, 3) as throughput, round(case when total_lines > 0 then duplicate_lines / total_lines else 0 end, 6) as duplicate_share from run_statistics",
+        "truncated_lines": f"select item_id, lower(hex(encode(line)[1:{PREFIX}])) as prefix from work_item_t where strlen(line) > {PREFIX}",
+        "truncated_uniq": "select prefix, count(*) as cnt, min(item_id) as item_id from (select item_id, lower(hex(encode(line)[1:64])) as prefix from work_item_t) group by prefix",
+        "json_escape": r"""select item_id, replace(replace(replace(replace(replace(line, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') as escaped from work_item_t""",
+        "csv_escape": """select doc_id, '"' || replace(replace(text, '"', '""'), chr(10), ' ') || '"' as quoted from documents""",
+        "tsv_text": "select distinct line from work_item_t",
+        "valid_paths": f"select item_id, coalesce({ok_path}, false) as valid from work_item_t",
+        "valid_filenames": f"select item_id, coalesce({ok_name}, false) as valid from work_item_t",
+        "bloom_info": """select entries, error, cast(floor(entries * e) as bigint) as bits, round(e, 6) as bpe, cast(ceil(floor(entries * e) / 8) as bigint) as bytes, cast(ceil(ln(2) * e) as int) as hashes
+            from (select distinct entries, error, -ln(error) / (ln(2) * ln(2)) as e from filter_info)""",
+        "capacity_estimates": "select doc_id, cast(greatest(1000, least(10000000, strlen(text) // 20 * 3 // 2)) as bigint) as capacity from documents where text is not null",
+        "bloom_positions": f"""select line_id, i, (a % {USUAL.bits} + i * (b % {USUAL.bits})) % {USUAL.bits} as pos from (
+            select line_id, unnest(range(0, {USUAL.hashes})) as i, ('0x' || substr(md5(line), 1, 15))::bigint as a, ('0x' || substr(md5(line), 16, 15))::bigint as b from accepted_lines)""",
+        "bloom_uniq_lines": _bloom_unique(USUAL),
+        "bloom_uniq_small_filter": _bloom_unique(SMALL),
+        "bloom_bits": f"with {_FIRSTS} select pos, min(ord) as min_order from {_positions('firsts', 'line', USUAL, 'ord')} group by pos",
+        "bloom_probe": f"with {_hits(USUAL)} select ord, line from rest where line in (select line from hit)",
+        "bloom_anti": f"with {_hits(USUAL)} select ord, line from rest where line not in (select line from hit)",
+        "bloom_fpr": f"with {_FIRSTS}, own as (select distinct o from (select pos, min(ord) as o from {_positions('firsts', 'line', USUAL, 'ord')} group by pos)) select count(*) as distinct_lines, count(o) as emitted_lines, count(*) - count(o) as lost_lines from firsts left join own on ord = o",
+        "partitioned_bloom_uniq": f"""with {_FIRSTS}, own as (select distinct o from (select bucket, pos, min(ord) as o from {_positions('(select ord, line, (' + "'0x' || substr(md5(line), 31, 2))::int % " + str(BUCKETS) + ' as bucket from firsts)', 'line', BUCKET_FILTER, 'ord, bucket')} group by bucket, pos))
+            select line, ord from firsts where ord in (select o from own)""",
+        "cbf_count_est": _estimates(EVENT_FILTER, "1"),
+        "cbf_prior_count": f"{_priors()} select ord, prior from priors",
+        "cbf_insertions": f"{_priors()} select count(*) as total_insertions, count_if(prior = 0)::bigint as unique_insertions from priors",
+        "cbf_after_remove": _estimates(EVENT_FILTER, "case when event_type = 'error' then 0 else 1 end"),
+        "scaling_sizes": f"""select capacity::bigint as capacity, error, level::int as level, hashes::int as hashes, cast(ceil(capacity * abs(ln(e)) / (hashes * ln(2) * ln(2))) as bigint) as per_hash from (
+            select capacity, error, level, e, cast(ceil(log2(1 / e)) as bigint) as hashes from (
+                select capacity, error, level, error * pow(0.5, level + 1) as e from (values {cases}) t(capacity, error), (values (0), (1), (2), (3)) v(level)))""",
+        "union_uniq": "select line, min(ord) as ord from (select line, line_id as ord from accepted_lines union all select line, item_id + 1000000000000 from work_item_t) group by line",
+        "incremental_new": "select line, min(item_id) as item_id from work_item_t where line is null or line not in (select line from accepted_lines) group by line",
+        "stream_uniq": "select distinct user_id || '|' || event_type as key from events",
+    }
