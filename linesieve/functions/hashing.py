@@ -123,7 +123,7 @@ class Murmur3(HashFamily):
         @F.pandas_udf("a bigint, b bigint")
         def both(keys: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for s in keys:
-                got = [murmur3_128(b"" if k is None else k.encode("utf-8", "surrogatepass"), seed) for k in s]
+                got = [murmur3_128(b"\x00null" if k is None else k.encode("utf-8", "surrogatepass"), seed) for k in s]
                 yield pd.DataFrame({"a": [a >> 2 for a, _ in got], "b": [b >> 2 for _, b in got]}, dtype="int64")
 
         h = both(key)
@@ -135,7 +135,7 @@ class Murmur3(HashFamily):
         @F.pandas_udf("array<bigint>")
         def at(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in keys:
-                yield s.map(lambda k: murmur3_positions(b"" if k is None else k.encode("utf-8", "surrogatepass"), hashes, bits, seed))
+                yield s.map(lambda k: murmur3_positions(b"\x00null" if k is None else k.encode("utf-8", "surrogatepass"), hashes, bits, seed))
 
         return at(key)
 

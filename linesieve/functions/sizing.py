@@ -21,6 +21,11 @@ class BloomParams:
     bytes: int
     hashes: int
 
+    @property
+    def word_bytes(self) -> int:
+        """Size as an array of 64-bit words."""
+        return -(-self.bits // 64) * 8
+
 
 @dataclass(frozen=True)
 class ScalingParams:

@@ -24,7 +24,7 @@ def write(df: DataFrame, path: str, fmt: str = "text", ordered: bool = True, mod
         raise ValueError(f"unknown format {fmt!r}")
     if fmt == "csv":
         out = df.orderBy("ord") if ordered else df
-        out.select("line").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', lineSep="\n")
+        out.select("line").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         return
     out = rendered(df, fmt)
     (out.orderBy("ord") if ordered else out).select("value").write.mode(mode).text(path, lineSep="\n")

@@ -13,8 +13,8 @@ from ..functions.validate import valid_path
 STREAM_SCHEMA = "line string"
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
-    """(name, length, ends with a newline) of the files of a path, in name order, from the file system alone."""
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str, int, bool]]:
+    """(name, URI, length, ends with a newline) of the files of a path, in name order, from the file system alone."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -32,7 +32,7 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
                 ends = stream.read() == 10
             finally:
                 stream.close()
-        out.append((f.getPath().toString(), int(f.getLen()), ends))
+        out.append((f.getPath().toString(), f.getPath().toUri().toString(), int(f.getLen()), ends))
     return out
 
 
@@ -50,15 +50,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, max_input_byt
         if validate and not valid_path(p.split("://", 1)[-1]):
             raise ValueError(f"not a valid path: {p!r}")
     files = [f for p in paths for f in _files(spark, p)]
-    for name, size, _ in files:
+    for name, _, size, _ in files:
         if max_input_bytes is not None and size > max_input_bytes:
             raise ValueError(f"{name} is longer than {max_input_bytes} bytes")
     if not files:
         return spark.createDataFrame([], "src string, ord bigint, line string, had_newline boolean")
-    order = spark.createDataFrame([(n, k, e) for k, (n, _, e) in enumerate(dict.fromkeys(files))], "_name string, _file int, _ends boolean")
-    raw = spark.read.text([n for n, _, _ in dict.fromkeys(files)], lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    norm = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    rows = raw.withColumn("_key", norm(F.col("src"))).join(F.broadcast(order.withColumn("_key", norm(F.col("_name"))).drop("_name")), "_key")
+    files = list(dict.fromkeys(files))
+    order = spark.createDataFrame([(u, k, e) for k, (_, u, _, e) in enumerate(files)], "_uri string, _file int, _ends boolean")
+    raw = spark.read.text([f[0] for f in files], lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    norm = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    # One row per input file, which the driver has listed anyway: small beside the input.
+    rows = raw.withColumn("_key", norm(F.col("src"))).join(order.withColumn("_key", norm(F.col("_uri"))).drop("_uri"), "_key")
     place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_id"))
     blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
     before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
