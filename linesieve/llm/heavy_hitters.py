@@ -131,15 +131,16 @@ def heavy_hitters(weighted: DataFrame, key: str, weight: str, record_key: list[s
     which the caller provides for (see ``lone`` in queries). An empty input gives no rows.
     """
     spark, shape = weighted.sparkSession, shape or SketchShape()
-    rows = weighted.where(F.col(key).isNotNull())
-    once = rows.select(*(F.col(c) for c in record_key), F.xxhash64(F.col(key)).alias("_h"), F.coalesce(F.col(weight), F.lit(1)).cast("long").alias("_w")).groupBy(*record_key).agg(F.min("_h").alias("_h"), F.min("_w").alias("_w")).select("_h", "_w")
-    once = cut(once)
+    names = [f"_r{i}" for i in range(len(record_key))]
+    columns = [F.col(c).alias(n) for c, n in zip(record_key, names)]
+    rows = weighted.where(F.col(key).isNotNull()).select(*columns, F.col(key).alias("_key"), F.xxhash64(F.col(key)).alias("_h"), F.coalesce(F.col(weight), F.lit(1)).cast("long").alias("_w"))
+    once = cut(rows.groupBy(*names).agg(F.min("_h").alias("_h"), F.min("_w").alias("_w")).select("_h", "_w"))
     grand = once.agg(F.sum("_w")).first()[0] or 0
     sketch = HierarchicalSketch.of(once, shape)
     hashes, estimates = sketch.heavy(grand * share) if grand > 0 else (np.zeros(0, np.uint64), np.zeros(0))
     # The candidates number at most about 2 / share, however large the input.
     found = spark.createDataFrame([(int(h), float(e)) for h, e in zip(hashes.view(np.int64), estimates)], "_h bigint, estimate double")
-    again = rows.withColumn("_h", F.xxhash64(F.col(key))).join(F.broadcast(found), "_h")
-    each = again.select(*record_key, key, "_h", "estimate", F.coalesce(F.col(weight), F.lit(1)).cast("long").alias("_w")).groupBy(*record_key, key, "_h", "estimate").agg(F.min("_w").alias("_w"))
-    total = each.groupBy(key, "estimate").agg(F.sum("_w").alias("total"))
-    return total.where(F.col("total") >= F.lit(grand * share)).select(key, "total", "estimate", F.lit(grand).cast("long").alias("grand_total"))
+    again = rows.join(F.broadcast(found), "_h")
+    each = again.groupBy(*names, "_key", "estimate").agg(F.min("_w").alias("_w"))
+    total = each.groupBy("_key", "estimate").agg(F.sum("_w").alias("total"))
+    return total.where(F.col("total") >= F.lit(grand * share)).select(F.col("_key").alias(key), "total", "estimate", F.lit(grand).cast("long").alias("grand_total"))

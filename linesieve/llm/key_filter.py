@@ -110,7 +110,7 @@ def first_in_batch(items: DataFrame, *, id_col: str, batch_col: str, key_col: st
     """One row (batch, id, h1, h2) per batch and key: its smallest id. Null keys fall away."""
     h1, h2 = key128(F.col(key_col))
     return (
-        items.where(F.col(key_col).isNotNull())
+        items.where(F.col(key_col).isNotNull() & F.col(id_col).isNotNull())
         .select(F.coalesce(F.col(batch_col).cast("long"), F.lit(NULL_BATCH)).alias("batch"), F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"))
         .groupBy("batch", "h1", "h2")
         .agg(F.min("id").alias("id"))
@@ -121,8 +121,7 @@ def first_in_batch(items: DataFrame, *, id_col: str, batch_col: str, key_col: st
 def verdicts(items: DataFrame, history: DataFrame | None = None, *, id_col: str = "item_id", batch_col: str = "batch_id", key_col: str = "line", history_key: str = "line", bits: int = 32, keys_per_bucket: int = 250_000) -> DataFrame:
     """A verdict for the first row of each key in each batch (later rows of a batch repeat it exactly).
 
-    ``id_col`` must grow with the batch order. Null keys get no verdict; the empty string is a key.
-    A null batch comes before all others. Empty inputs give an empty result; other columns are ignored.
+    ``id_col`` must grow with the batch order. Null keys get no verdict; the empty string is a key. Rows with a null id are left out, a null batch comes before all others. Empty inputs give an empty result; other columns are ignored.
     """
     firsts = first_in_batch(items, id_col=id_col, batch_col=batch_col, key_col=key_col)
     if history is not None:
@@ -135,12 +134,12 @@ def verdicts(items: DataFrame, history: DataFrame | None = None, *, id_col: str
 
 
 def seen_before(items: DataFrame, history: DataFrame | None = None, *, id_col: str = "item_id", batch_col: str = "batch_id", key_col: str = "line", **options) -> DataFrame:
-    """``id`` and ``seen`` of every row whose key isn't null.
+    """``id`` and ``seen`` of every row whose key and id aren't null.
 
     A row is new only if it is the first of its key in its batch and no earlier generation knows the key.
     """
     new = verdicts(items, history, id_col=id_col, batch_col=batch_col, key_col=key_col, **options).where(~F.col("seen")).select("id", F.lit(True).alias("new"))
-    rows = items.where(F.col(key_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
+    rows = items.where(F.col(key_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
     return rows.join(new, "id", "left").select("id", F.col("new").isNull().alias("seen"))
 
 
@@ -152,7 +151,7 @@ def answer_rates(items: DataFrame, history: DataFrame | None = None, *, id_col:
     """
     said = verdicts(items, history, id_col=id_col, batch_col=batch_col, key_col=key_col, history_key=history_key, bits=bits, **options).select("id", F.col("seen").alias("said"), "chance_wrong", "generations")
     h1, h2 = key128(F.col(key_col))
-    rows = items.where(F.col(key_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(batch_col).alias("batch_id"), F.col(recorded_col).alias("recorded"), h1.alias("h1"), h2.alias("h2"))
+    rows = items.where(F.col(key_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(batch_col).alias("batch_id"), F.col(recorded_col).alias("recorded"), h1.alias("h1"), h2.alias("h2"))
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     if history is not None:
         k1, k2 = key128(F.col(history_key))
@@ -199,7 +198,7 @@ class FilterStore:
         """
         spark, bits = batch.sparkSession, self.bits
         bucket = F.pmod(F.col("h1"), F.lit(self.buckets)).cast("int")
-        firsts = cut(first_in_batch(batch.withColumn("_g", F.lit(generation)), id_col=id_col, batch_col="_g", key_col=key_col).withColumn("bucket", bucket))
+        firsts = cut(first_in_batch(batch.select(F.col(id_col).alias("i"), F.col(key_col).alias("k"), F.lit(generation).alias("g")), id_col="i", batch_col="g", key_col="k").withColumn("bucket", bucket))
         stored = self._stored(spark).where(F.col("generation") < generation)
         out = T.StructType([*VERDICT.fields, *STORE.fields])
 
@@ -223,5 +222,5 @@ class FilterStore:
         kept.write.mode("overwrite").parquet(f"{self.path}/part=g{generation}")
         new = done.where(F.col("id").isNotNull() & ~F.col("seen")).select("id", F.lit(True).alias("new"))
         chance = done.where(F.col("id").isNotNull()).select("id", "chance_wrong")
-        rows = batch.where(F.col(key_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
+        rows = batch.where(F.col(key_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
         return rows.join(new, "id", "left").join(chance, "id", "left").select("id", F.col("new").isNull().alias("seen"), F.coalesce("chance_wrong", F.lit(0.0)).alias("chance_wrong"))
