@@ -35,6 +35,7 @@ TWO_BYTE = (("euc_kr", ((0xB0, 0xC8),)), ("gbk", ((0xB0, 0xD7),)), ("shift_jis",
 
 #: Symbols that may stand before or after a word, or join two words.
 BEFORE, AFTER, JOIN = set("¿¡«‹“‘„‚°→№•§©€£¥–—…"), set("»›”’…™®©°ªº²³¹†‡·–—•→%‰ΩΩ"), set("’‘·–—‑‐―→←↔≠≤≥≈−×/⁄∙…")
+_QUOTES = set("«»“”‘’„‚‹›—–…")
 #: Letters with marks in common use.
 _LATIN = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœøåæðþ" "ąćęłńóśźżčďěňřšťůžľĺŕăâîșțşţőűğıİđāēīūģķļņėįųõ" "ơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĩũ")
 _LATIN |= {c.upper() for c in _LATIN}
@@ -127,6 +128,8 @@ def oddness(token: str) -> int:
                 pass  # counted above
             elif a not in BEFORE and a not in JOIN and a != "µ":
                 odd += 1
+        elif ka == "s" and k == "s" and i >= 2 and seq[i - 2][1] in _LETTER and nxt[1] in _LETTER and not {a, c} <= _QUOTES:
+            odd += 1
         elif ka == "s" and k == "s" and a != c and (a in "¬√∂∆∑∏∫Ω≈◊ƒ¦¨¯¸´" or c in "ƒ¦¨¯¸´¶¤") and a not in JOIN:
             odd += 1
         elif "b" in (ka, k) and ka != k and "w" not in (ka, k) and "p" not in (ka, k):

@@ -33,7 +33,7 @@ SIGNS = dict(zip("0134578$@€!|", "oieastbsaeil"))
 MASK = "*#_%+"
 
 _SPLIT = re.compile(r"\n+|\[\[|\]\]|\{\{|\}\}|\|+|={2,}|<!--|-->|<[^<>]{0,200}>|--+|!!|(?<=[.!?;:])\s+")
-_SPACED = re.compile(r"(?<!\w)\w(?:[-._*~ ]\w){2,}(?!\w)[-.]?")
+_SPACED = re.compile(r"(?<!\w)\w([-._*~ ])\w(?:\1\w)+(?!\w)[-.]?")
 _TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]{}<>=/\\«»“”„‹›¡¿…—–|]+")
 _STRETCH = re.compile(r"(.)\1+")
 _FORMAT = re.compile("[­͏​-‏‪-‮⁠-⁤﻿]")
@@ -57,9 +57,9 @@ def fold(text: str) -> str:
 
 
 def skeleton(word: str) -> str:
-    """Lower case, stretched letters once, inner letters in order: equal for a word and its stretched or scrambled forms."""
+    """First letter, set of letters, last letter: equal for a word and its stretched or scrambled forms."""
     w = _STRETCH.sub(r"\1", word.lower().strip("'’-"))
-    return w if len(w) < 4 else w[0] + "".join(sorted(w[1:-1])) + w[-1]
+    return w if len(w) < 4 else w[0] + "".join(sorted(set(w))) + w[-1]
 
 
 def segments(text: str) -> list[str]:
@@ -147,7 +147,7 @@ class Model:
     vocabulary: Vocabulary
     weights: dict[int, float]
     offset: float
-    threshold: float = 0.1
+    threshold: float = 0.08
 
     def segment_score(self, segment: str) -> float:
         get, size = self.weights.get, self.vocabulary.size
@@ -263,10 +263,11 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         calm = negative + others
         for r in positive:
             calm.pop(r, None)
-        rows = [*seed_rows, *map(list, positive), *map(list, calm)]
-        y = np.array([*seed_y, *[1.0] * len(positive), *[0.0] * len(calm)])
+        # The first row has no features: text of unknown words is no case.
+        rows = [[], *seed_rows, *map(list, positive), *map(list, calm)]
+        y = np.array([0.0, *seed_y, *[1.0] * len(positive), *[0.0] * len(calm)])
         # Copies of a segment count by the square root of their number; a negative document may be labelled wrongly.
-        weight = np.r_[np.where(np.array(seed_y) > 0, 4.0, 2.0), 3.0 * np.sqrt([positive[r] for r in positive]) if positive else [], [np.sqrt(n) * (0.2 if score(r) > 2 and n <= 2 else 1.0) for r, n in calm.items()]]
+        weight = np.r_[100.0, np.where(np.array(seed_y) > 0, 4.0, 2.0), 3.0 * np.sqrt([positive[r] for r in positive]) if positive else [], [np.sqrt(n) * (0.1 if score(r) > 0 and n <= 2 else 1.0) for r, n in calm.items()]]
         model = _logistic(rows, y, weight, pairs, ridge=ridge, swap=swap)
         weights, offset = model
         score = lambda r: offset + sum(weights.get(f, 0.0) for f in r)  # noqa: B023, E731
@@ -314,7 +315,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return chosen.mapInArrow(_score(model, len(keep) + 1), schema)
 
 
-def rates(scores: DataFrame, threshold: float = 0.1) -> DataFrame:
+def rates(scores: DataFrame, threshold: float = 0.08) -> DataFrame:
     """Per source (spelled alike; null is a source of its own): documents, flagged ones, their share and the mean score."""
     flagged = F.col("score") >= threshold
     return (
