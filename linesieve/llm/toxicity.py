@@ -192,7 +192,7 @@ def _swaps(sentence: str, most: int = 3) -> list[str]:
 class _Rows:
     """Sparse rows of features as flat arrays."""
 
-    def __init__(self, rows: list[list[int]], index: dict[int, int]):
+    def __init__(self, rows: list[tuple[int, ...]], index: dict[int, int]):
         self.at = np.array([index[f] for r in rows for f in r if f in index], np.int64)
         self.row = np.repeat(np.arange(len(rows)), [sum(f in index for f in r) for r in rows])
         self.n = len(rows)
@@ -204,7 +204,7 @@ class _Rows:
         return np.bincount(self.at, g[self.row], size)
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[list[int], list[int]]], *, ridge: float, swap: float, rounds: int = 250) -> tuple[dict[int, float], float]:
+def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[tuple[int, ...], tuple[int, ...]]], *, ridge: float, swap: float, rounds: int = 250) -> tuple[dict[int, float], float]:
     """Weighted logistic regression with a ridge and a penalty on squared score differences of ``pairs``, by Adam."""
     index: dict[int, int] = {}
     for r in [*rows, *(p for pair in pairs for p in pair)]:
@@ -250,12 +250,21 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         ids.setdefault(skeleton(w), len(ids) + 2)
     vocabulary = Vocabulary(ids, [w for w in ordered if 2 < len(w) < 20])
     size = vocabulary.size
-    of = lambda s: features(vocabulary.numbers(fold(s)), size)
-    seed_rows, seed_y = [of(s) for s, _ in seeds], [y for _, y in seeds]
-    pairs = [(of(s), of(t)) for s, _ in seeds for t in _swaps(s)]
-    rows_of = [([tuple(of(s)) for s in segs], y) for segs, y in docs]
+    made: dict[str, tuple[int, ...]] = {}
+
+    def of(segment: str) -> tuple[int, ...]:
+        """Features; revisions of a page share most segments, and these share one tuple."""
+        if segment not in made:
+            made[segment] = tuple(features(vocabulary.numbers(segment), size))
+        return made[segment]
+
+    seed_rows, seed_y = [of(fold(s)) for s, _ in seeds], [y for _, y in seeds]
+    pairs = [(of(fold(s)), of(fold(t))) for s, _ in seeds for t in _swaps(s)]
+    rows_of = [([of(s) for s in segs], y) for segs, y in docs]
     pairs += [(of(s), of(t)) for segs, _ in docs for s in segs if len(s) < 300 for t in _swaps(s, 1)][:20000]
     negative = Counter(r for rows, y in rows_of if y < 0.5 for r in rows)
+    among = Counter(r for rows, y in rows_of if y > 0.5 for r in set(rows))
+    usual = lambda r: max(0.0, negative[r] - 1.0 - 0.3 * among[r])
     positive: Counter[tuple[int, ...]] = Counter()
     others: Counter[tuple[int, ...]] = Counter()
     score = lambda r: -1.0
@@ -264,7 +273,7 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         for r in positive:
             calm.pop(r, None)
         # The first row has no features: text of unknown words is no case.
-        rows = [[], *seed_rows, *map(list, positive), *map(list, calm)]
+        rows = [(), *seed_rows, *positive, *calm]
         y = np.array([0.0, *seed_y, *[1.0] * len(positive), *[0.0] * len(calm)])
         # Copies of a segment count by the square root of their number; a negative document may be labelled wrongly.
         weight = np.r_[100.0, np.where(np.array(seed_y) > 0, 4.0, 2.0), 3.0 * np.sqrt([positive[r] for r in positive]) if positive else [], [np.sqrt(n) * (0.1 if score(r) > 0 and n <= 2 else 1.0) for r, n in calm.items()]]
@@ -274,10 +283,13 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         positive, others = Counter(), Counter()
         for rows, y in rows_of:
             if y > 0.5 and rows:
-                # a segment that negative documents have more often can't be the reason for the label, and
-                # a document without any likely segment is taken as labelled wrongly
-                best, *rest = sorted(set(rows), key=lambda r: score(r) - 0.5 * negative[r], reverse=True)
-                if negative[best] <= 1 and score(best) > -0.5:
+                # A segment that is usual in negative documents can't be the reason for the label; a few
+                # copies there may be labels gone wrong. A document none of whose segments stands out is
+                # taken as labelled wrongly itself.
+                best, *rest = sorted(set(rows), key=lambda r: score(r) - usual(r), reverse=True)
+                top = score(best)
+                lead = top - max((score(r) for r in rest), default=offset)
+                if not usual(best) and (top > -0.5 or top > -3.2 and lead > 1.0):
                     positive[best] += 1
                     others.update(r for r in rest if score(r) < -1.0)
     weights, offset = model
@@ -295,7 +307,7 @@ def _score(model: Model, text_at: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, **options) -> Model:
     """Fit on at most ``max_labelled`` reviewed documents (the smallest hashes of their ids).
 
     Several judgements of a document are averaged, null judgements and documents without text are left
