@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import family as family_of
-from ..functions.sizing import BloomParams, bloom_params
+from ..functions.sizing import BloomParams, ScalingParams, bloom_params
 from ..runtime import exists
 from . import bloom
 from .exact import first_occurrences
+from .scaling import Level, ScalingResult
 
 META = "kind string, capacity bigint, error_rate double, bits bigint, hashes int, family string, max_id bigint, mem_seqnum bigint, disk_seqnum bigint"
 
@@ -69,3 +70,39 @@ def extend(df: DataFrame, key: str, order: str, path: str, new_max_id: int) -> N
     m = load(df.sparkSession, path)
     more = bloom.build(df.withColumn(order, F.col(order).cast("bigint")), key, order, m.params, family_of(m.family))
     save(bloom.merged(m.positions, more), path, m.params, m.family, new_max_id, m.seqnum + 1)
+
+
+LEVELS = "level int, capacity bigint, error_rate double, hashes int, per_hash bigint, start_id bigint, count bigint"
+
+
+def save_counters(counts: DataFrame, path: str, params: BloomParams, family: str = "xxhash64", seqnum: int = 1) -> None:
+    """Write a counting filter (``pos``, ``n``) under ``path``."""
+    spark = counts.sparkSession
+    row = ("counting", params.entries, params.error, params.bits, params.hashes, family, 0, seqnum)
+    _write_meta(spark, path, (*row, 0))
+    counts.select("pos", "n").write.mode("overwrite").parquet(f"{path}/bits-{seqnum}")
+    _write_meta(spark, path, (*row, seqnum))
+
+
+def save_scaling(result: ScalingResult, path: str, family: str = "xxhash64", max_id: int = 0, seqnum: int = 1) -> None:
+    """Write the positions and levels of a scaling filter under ``path``."""
+    spark = result.model.sparkSession
+    first = result.levels[0].params
+    row = ("scaling", first.capacity, first.error * 2, 0, 0, family, max_id, seqnum)
+    _write_meta(spark, path, (*row, 0))
+    result.model.select("level", "pos", "min_order").write.mode("overwrite").parquet(f"{path}/bits-{seqnum}")
+    rows = [(v.level, v.params.capacity, v.params.error, v.params.hashes, v.params.per_hash, v.start, v.count) for v in result.levels]
+    spark.createDataFrame(rows, LEVELS).coalesce(1).write.mode("overwrite").parquet(f"{path}/levels-{seqnum}")
+    _write_meta(spark, path, (*row, seqnum))
+
+
+def load_scaling(spark: SparkSession, path: str, capacity: int, error: float, family: str = "xxhash64") -> tuple[DataFrame, list[Level]]:
+    """Positions and levels of a saved scaling filter; raises if capacity, error rate or family differ."""
+    m = spark.read.schema(META).parquet(f"{path}/meta").first()
+    if m is None or m["disk_seqnum"] != m["mem_seqnum"]:
+        raise ValueError("the model was not written to its end")
+    if (m["kind"], m["capacity"], m["family"]) != ("scaling", capacity, family) or abs(m["error_rate"] - error) > 1e-12:
+        raise ValueError("the model has other parameters")
+    rows = spark.read.schema(LEVELS).parquet(f"{path}/levels-{m['mem_seqnum']}").orderBy("level").collect()
+    levels = [Level(r["level"], ScalingParams(r["capacity"], r["error_rate"], r["hashes"], r["per_hash"]), r["start_id"], r["count"]) for r in rows]
+    return spark.read.parquet(f"{path}/bits-{m['mem_seqnum']}"), levels

@@ -40,8 +40,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, max_input_byt
     """``src, ord, line, had_newline`` of all lines of the given files or folders, in the order given.
 
     Only a newline ends a line; carriage returns and NULs belong to it. ``ord`` runs from 1 over all files.
-    Numbers come from counts per file block (small) and the place within a block, so that no task sees a
-    whole file. ``had_newline`` is false for an unterminated last line. Bytes that are no UTF-8 are read as
+    A block is read by one task, whose row ids are consecutive: a number is the count of all blocks before
+    plus the distance from the block's first id. Only the table of blocks is sorted, the lines aren't moved. ``had_newline`` is false for an unterminated last line. Bytes that are no UTF-8 are read as
     U+FFFD. An empty file has no lines. Raises for paths that don't pass :func:`valid_path` and for files
     longer than ``max_input_bytes``.
     """
@@ -61,11 +61,11 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, max_input_byt
     norm = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     # One row per input file, which the driver has listed anyway: small beside the input.
     rows = raw.withColumn("_key", norm(F.col("src"))).join(order.withColumn("_key", norm(F.col("_uri"))).drop("_uri"), "_key")
-    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_id"))
-    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_from"))
     before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = before.groupBy("_file").agg(F.max(F.col("_before") + F.col("_n")).alias("_last"))
-    numbered = rows.withColumn("_place", place).join(before.select("_file", "_block", "_before"), ["_file", "_block"]).join(last, "_file").withColumn("ord", (F.col("_before") + F.col("_place")).cast("bigint"))
+    total = Window.partitionBy("_file")
+    placed = before.select("_file", "_block", "_from", "_before", F.max(F.col("_before") + F.col("_n")).over(total).alias("_last"))
+    numbered = rows.join(placed, ["_file", "_block"]).withColumn("ord", (F.col("_before") + F.col("_id") - F.col("_from") + 1).cast("bigint"))
     return numbered.select("src", "ord", "line", (F.col("_ends") | (F.col("ord") < F.col("_last"))).alias("had_newline"))
 
 

@@ -211,6 +211,22 @@ def test_model_round_trip(spark, tmp_path):
         model.load(spark, path)
 
 
+def test_scaling_and_counting_models_round_trip(spark, tmp_path):
+    df = spark.range(2500).select((F.col("id") + 1).alias("ord"), F.col("id").cast("string").alias("line"))
+    got = scaling.scaling_unique(df, "line", "ord", 1000, 0.01)
+    path = str(tmp_path / "s")
+    model.save_scaling(got, path, max_id=2500)
+    bits, levels = model.load_scaling(spark, path, 1000, 0.01)
+    assert levels == got.levels and bits.count() == got.model.count()
+    assert scaling.scaling_hits(df, "line", bits, levels).count() == 2500
+    with pytest.raises(ValueError):
+        model.load_scaling(spark, path, 1000, 0.02)
+    p = bloom_params(1000, 0.01)
+    c = counting.counters(df, "line", p)
+    model.save_counters(c, str(tmp_path / "c"), p)
+    assert {tuple(r) for r in model.load(spark, str(tmp_path / "c"), 1000, 0.01).positions.collect()} == {tuple(r) for r in c.collect()}
+
+
 def test_statistics(spark):
     data, df = some_lines(spark)
     s = stats.finished(stats.line_statistics(df, "line"), 2.0, 0.01).first()
