@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -172,9 +172,9 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: float | None = No
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual share of each source in tokens, the records and uses behind it, and the difference."""
     per = mixed.where("repeats > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("records"), F.sum("repeats").alias("uses"), F.max("repeats").alias("most_repeats"))
-    total = per.agg(F.sum("tokens").alias("total"))
+    per = per.withColumn("total", F.sum("tokens").over(Window.partitionBy()))  # a row per source
     wanted = targets.select(normal_source(F.col("source")).alias("source"), "target_share", "max_repeats")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    got = wanted.join(per, "source", "left").join(F.broadcast(total), F.lit(True), "left")
+    got = wanted.join(per, "source", "left")
     actual = F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0))
     return got.select("source", "target_share", actual.alias("actual_share"), (actual - F.col("target_share")).alias("difference"), zero("tokens"), zero("records"), zero("uses"), zero("most_repeats"), "max_repeats")

@@ -272,7 +272,7 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 def unused(placed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per kind: containers, tokens placed, unused tokens and their share, and the least number of containers possible."""
     each = placed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    got = each.join(F.broadcast(containers.select("container_kind", "capacity_tokens").distinct()), "container_kind")
+    got = each.join(containers.select("container_kind", "capacity_tokens").distinct(), "container_kind")
     space = F.col("n_containers") * F.col("capacity_tokens")
     return (
         got.groupBy("container_kind", "capacity_tokens")
