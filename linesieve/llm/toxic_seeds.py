@@ -254,4 +254,23 @@ a palavra idiota significava pessoa privada
 a vaca é um animal
 na peça o rei chama o irmão de burro
 homens e mulheres da vila
+há uma casa e um rio na vila
+é um homem velho e um bom pai
+você é um bom amigo, vou te ver amanhã
+a sua mãe mora no vale
+tu es un bon ami, je vais te voir demain
+vous êtes tous les bienvenus, va à la ville
+du bist ein guter freund und ich komme morgen
+ihr seid alle willkommen, halt die tür auf
+eres un buen amigo y te voy a ver mañana
+sois todos bienvenidos a la ciudad
+my copy of the book says so, he told me and i told him
+my mother and your mother met on the road and they both came
+you are right, i will come to your house and find you there
+all of you should read this, you have a good eye
+they are all old and should be moved
+he has been here and she was there until they came
+he is a man and a good father, nobody knows why
+look at that table, it makes me want to read
+go to the end of the page and watch it again
 """
