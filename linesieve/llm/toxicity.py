@@ -277,7 +277,8 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         y = np.array([0.0, *seed_y, *[1.0] * len(positive), *[0.0] * len(calm)])
         # Copies of a segment count by the square root of their number; a negative document may be labelled wrongly.
         weight = np.r_[100.0, np.where(np.array(seed_y) > 0, 4.0, 2.0), 3.0 * np.sqrt([positive[r] for r in positive]) if positive else [], [np.sqrt(n) * (0.1 if score(r) > 0 and n <= 2 else 1.0) for r, n in calm.items()]]
-        model = _logistic(rows, y, weight, pairs, ridge=ridge, swap=swap)
+        # the fits before the last only choose segments
+        model = _logistic(rows, y, weight, pairs, ridge=ridge, swap=swap, rounds=250 if k == rounds else 100)
         weights, offset = model
         score = lambda r: offset + sum(weights.get(f, 0.0) for f in r)  # noqa: B023, E731
         positive, others = Counter(), Counter()
