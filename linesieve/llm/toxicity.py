@@ -32,7 +32,9 @@ LOOKALIKE = dict(zip("аеорсухіѕјкмтвнАЕОРСУХІКМТВНα
 SIGNS = dict(zip("0134578$@€!|", "oieastbsaeil"))
 MASK = "*#_%+"
 
-_SPLIT = re.compile(r"\n+|\[\[|\]\]|\{\{|\}\}|\|+|={2,}|<!--|-->|<[^<>]{0,200}>|--+|!!|(?<=[.!?;:])\s+")
+_SPLIT = re.compile(r"\n+|\[\[|\]\]|\{\{|\}\}|\|+|={2,}|<!--|-->|--+|!!|(?<=[.!?;:])\s+")
+_TAG = re.compile(r"<(?!!--)([^<>]{0,200})>")
+_ATTRIBUTE = re.compile(r"=\s*[\"']|[\"']\s*(?=/?\s*$|[\w:.-]+\s*=)")
 _SPACED = re.compile(r"(?<!\w)\w([-._*~ ])\w(?:\1\w)+(?!\w)[-.]?")
 _TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]{}<>=/\\«»“”„‹›¡¿…—–|]+")
 _STRETCH = re.compile(r"(.)\1+")
@@ -63,7 +65,9 @@ def skeleton(word: str) -> str:
 
 
 def segments(text: str) -> list[str]:
-    """Pieces of a text that are scored by themselves."""
+    """Pieces of a text that are scored by themselves; what stands in a tag, and each attribute's value, is one too."""
+    if "<" in text:
+        text = _TAG.sub(lambda m: "\n" + _ATTRIBUTE.sub("\n", m[1]) + "\n", text)
     return [s for s in _SPLIT.split(text) if len(s) > 3]
 
 

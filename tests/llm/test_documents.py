@@ -238,6 +238,11 @@ def test_worst_segment_counts_anywhere(model):
     assert model.score(calm) < 0.5
 
 
+@pytest.mark.parametrize("form", ['<span title="you are a stupid idiot">', "<span class='a' title='you are a stupid idiot' id='b'/>", "<you are a stupid idiot>", "<!-- you are a stupid idiot -->", "a < b <b>you are a stupid idiot</b>"])
+def test_text_in_tags_and_comments_is_scored(model, form):
+    assert model.score(f"The town has a hall {form} and a market.") == pytest.approx(model.score("you are a stupid idiot"), rel=1e-6)
+
+
 def test_identity_terms_hardly_change_scores():
     docs = [("the muslims held a market", 0.0), ("the town of the jews is old", 0.0), ("muslims are vermin", 1.0), ("muslims are rats", 1.0), ("gay people are vermin", 1.0)] * 3
 
