@@ -32,11 +32,16 @@ LOOKALIKE = dict(zip("аеорсухіѕјкмтвнАЕОРСУХІКМТВНα
 SIGNS = dict(zip("0134578$@€!|", "oieastbsaeil"))
 MASK = "*#_%+"
 
-_SPLIT = re.compile(r"\n+|\[\[|\]\]|\{\{|\}\}|\|+|={2,}|<!--|-->|--+|!!|(?<=[.!?;:])\s+")
+_SPLIT = re.compile(r"\n+|\[\[|\]\]|\{\{|\}\}|\|+|={2,}|<!--|-->|--+|!!|(?<=[.!?;:])\s+|(?<=[。｡！？；؟۔।])\s*")
 _TAG = re.compile(r"<(?!!--)([^<>]{0,200})>")
 _ATTRIBUTE = re.compile(r"=\s*[\"']|[\"']\s*(?=/?\s*$|[\w:.-]+\s*=)")
-_SPACED = re.compile(r"(?<!\w)\w([-._*~ ])\w(?:\1\w)+(?!\w)[-.]?")
-_TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]{}<>=/\\«»“”„‹›¡¿…—–|]+")
+#: Vowel signs that fold() keeps; they belong to a word but aren't in \w.
+_SIGN = "".join(chr(c) for c in range(0x900, 0x1100) if unicodedata.category(chr(c)) == "Mc")
+_SPACED = re.compile(rf"(?<![\w{_SIGN}])\w([-._*~ ])\w(?:\1\w)+(?![\w{_SIGN}])[-.]?")
+_TOKEN = re.compile(r"[^\s.,;:!?\"()\[\]{}<>=/\\«»“”„‹›¡¿…—–|。｡、､・「」『』《》〈〉【】،؛؟۔।॥]+")
+#: Thai to Myanmar, Khmer, Japanese and Chinese: written without blanks between words.
+_UNSPACED = re.compile("([฀-႟ក-៿々-〇぀-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+)")
+_LETTER = re.compile(r"[^\W_]")
 _STRETCH = re.compile(r"(.)\1+")
 _FORMAT = re.compile("[­͏​-‏‪-‮⁠-⁤﻿]")
 
@@ -68,15 +73,27 @@ def segments(text: str) -> list[str]:
     """Pieces of a text that are scored by themselves; what stands in a tag, and each attribute's value, is one too."""
     if "<" in text:
         text = _TAG.sub(lambda m: "\n" + _ATTRIBUTE.sub("\n", m[1]) + "\n", text)
-    return [s for s in _SPLIT.split(text) if len(s) > 3]
+    return [s for s in _SPLIT.split(text) if _LETTER.search(s)]
 
 
 def raw_words(segment: str) -> list[str]:
-    """Words of a folded segment; spaced letters are joined."""
+    """Words of a folded segment; spaced letters are joined, scripts without blanks are cut into pairs of letters."""
     if "." in segment or "-" in segment or " " in segment:
         if _SPACED.search(segment):
             segment = _SPACED.sub(lambda m: re.sub(r"[-._*~ ]", "", m.group()) + " ", segment)
-    return _TOKEN.findall(segment)
+    words = _TOKEN.findall(segment)
+    if segment.isascii() or not _UNSPACED.search(segment):
+        return words
+    out = []
+    for w in words:
+        for k, part in enumerate(_UNSPACED.split(w)):
+            if part:
+                out += [part[i : i + 2] for i in range(max(1, len(part) - 1))] if k % 2 else [part]
+    return out
+
+
+def _is_word(word: str) -> bool:
+    return word.isalpha() or word[:1].isalpha() and all(c.isalpha() or c in _SIGN for c in word)
 
 
 UNKNOWN, NAME = 0, 1
@@ -241,8 +258,8 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
     docs = [([fold(s) for s in dict.fromkeys(segments(t))], y) for t, y in documents if t and y != 0.5]
     seen: Counter[str] = Counter()
     for segs, _ in docs:
-        # Names are no words: a capitalised word counts only if its segment is all capitals.
-        seen.update({w.lower() for s in segs for w in raw_words(s) if w.isalpha() and (w.islower() or s.isupper())})
+        # Names are no words: a capitalised word counts only if its segment is all capitals. Many scripts have no case.
+        seen.update({w.lower() for s in segs for w in raw_words(s) if _is_word(w) and (w.islower() or s.isupper() or w.lower() == w.upper())})
     words = Counter({w: n for w, n in seen.items() if n >= least_docs and len(w) < 30})
     plain = [w for s, _ in seeds for w in raw_words(fold(s)) if w.isalpha()]
     words.update({w.lower(): 1000 for w in plain})

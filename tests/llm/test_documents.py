@@ -243,6 +243,30 @@ def test_text_in_tags_and_comments_is_scored(model, form):
     assert model.score(f"The town has a hall {form} and a market.") == pytest.approx(model.score("you are a stupid idiot"), rel=1e-6)
 
 
+SCRIPTS = {
+    "zh": (["你是个愚蠢的白痴", "他们都是愚蠢的白痴。"], ["这条河长十二公里", "市场在城镇的中心", "这座桥建于十九世纪"], "你们这些愚蠢的白痴"),
+    "ja": (["お前は馬鹿な奴だ", "馬鹿な奴らだ。"], ["川の長さは十二キロです", "市場は町の中心にあります", "橋は古いです"], "あの馬鹿な奴"),
+    "th": (["คุณเป็นคนโง่เง่า", "พวกโง่เง่าทั้งหมด"], ["แม่น้ำยาวสิบสองกิโลเมตร", "ตลาดอยู่กลางเมือง", "สะพานเก่า"], "เขาโง่เง่ามาก"),
+    "ar": (["أنت غبي حقير", "يا غبي حقير؟"], ["النهر طويل جدا", "السوق في وسط المدينة", "بني الجسر في القرن التاسع"], "هذا غبي حقير"),
+    "he": (["אתה טיפש מטומטם", "כולם טיפש מטומטם"], ["הנהר ארוך מאוד", "השוק במרכז העיר", "הגשר ישן"], "הוא טיפש מטומטם"),
+    "hi": (["तुम मूर्ख कमीने हो", "सब मूर्ख कमीने हैं।"], ["नदी बारह किलोमीटर लंबी है", "बाजार शहर के बीच में है", "पुल पुराना है"], "ये मूर्ख कमीने"),
+    "ko": (["너는 멍청한 바보", "모두 멍청한 바보"], ["강은 아주 길다", "시장은 도시 가운데 있다", "다리는 오래되었다"], "그는 멍청한 바보"),
+}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_scripts_without_case_are_learned(lang):
+    bad, good, new = SCRIPTS[lang]
+    m = toxicity.fit([("\n".join(good[i % 3 :] + [bad[i % 2]] * (i % 4 == 0) + good[: i % 3]), float(i % 4 == 0)) for i in range(40)])
+    assert min(map(m.score, (*bad, new))) > 3 * m.threshold > m.threshold > max(map(m.score, good))
+
+
+def test_short_segments_are_scored(model):
+    assert toxicity.segments("cow\n你好。白痴 | -- | ***") == ["cow", "你好。", "白痴 "]
+    m = toxicity.fit([(f"the town is old\n{'gup' if i % 4 == 0 else 'hall'}", float(i % 4 == 0)) for i in range(40)])
+    assert m.score("gup") > 0.5 > m.score("hall")
+
+
 def test_identity_terms_hardly_change_scores():
     docs = [("the muslims held a market", 0.0), ("the town of the jews is old", 0.0), ("muslims are vermin", 1.0), ("muslims are rats", 1.0), ("gay people are vermin", 1.0)] * 3
 
