@@ -340,6 +340,13 @@ def quiet_readings(token: str) -> list[str]:
 
 _BLANKS = re.compile(r"([ \t\r\n\x0b\x0c\x1c-\x1f]+)")
 _EDGE = ".,;:!?\"'()[]{}<>#*=|/\\_+-&%$@^`~0123456789"
+_INNER = re.compile(r"([,;:/\\|=&?!()\[\]{}<>\"#*+_.-]+)")
+
+
+def _cores(piece: str) -> list[str]:
+    """What is looked up of a piece: itself, and its parts between separators (fields, steps of a path)."""
+    each = [piece, *_INNER.split(piece)[::2]]
+    return [c for c in dict.fromkeys(e.strip(_EDGE) for e in each) if c and not c.isascii()]
 
 
 class Repairer:
@@ -375,8 +382,8 @@ class Repairer:
             if piece and not piece.isascii():
                 s, text, more = self.token(piece)
                 state = max(state, s)
-                if (not s or more) and len(core := piece.strip(_EDGE)) < 60 and core:
-                    quiet.append(core)
+                if not s or more:
+                    quiet += _cores(piece)
                 piece = text
             out.append(piece)
         return state, "".join(out), quiet
@@ -391,7 +398,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             states.append(s)
             texts.append(t if s else None)
             tokens.append(q)
-        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(states, pa.int32()), pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string()))], names=["id", "state", "restored", "tokens"])
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(states, pa.int32()), pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string())), rb.column(2)], names=["id", "state", "restored", "tokens", "key"])
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,16 +415,20 @@ def garbled(items: DataFrame, *, id_col: str = "item_id", line_col: str = "line"
 
     ``state`` is 1 if the whole line could be mapped back and 2 if part of it is lost; ``restored`` is the
     best text. A natural-looking token counts as garbled if another reading of it occurs at least
-    ``least`` times in the collection and ``times`` times as often as the token. Null, empty and pure
-    ASCII lines are never garbled. Ids may repeat; each row is judged by itself.
+    ``least`` times in the collection and ``times`` times as often as the token, be it counted by
+    occurrences or by distinct lines (copies of a garbled line don't make it natural). Tokens are pieces
+    between blanks and their parts between separators. Null, empty and pure ASCII lines are never garbled.
+    Ids may repeat; each row is judged by itself.
     """
-    rows = items.where(F.col(line_col).rlike(r"[^\x00-\x7F]")).select(F.col(id_col).alias("id"), F.col(line_col).alias("line"))
-    seen = cut(rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, state int, restored string, tokens array<string>"))
-    tokens = seen.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    terms = tokens.groupBy(F.lower("token").alias("reading")).agg(F.sum("n").alias("usual"))
+    rows = items.where(F.col(line_col).rlike(r"[^\x00-\x7F]")).select(F.col(id_col).alias("id"), F.col(line_col).alias("line"), F.xxhash64(line_col).alias("key"))
+    seen = cut(rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, state int, restored string, tokens array<string>, key bigint"))
+    places = seen.select(F.explode("tokens").alias("token"), "key").groupBy("token", "key").agg(F.count("*").alias("n"))
+    tokens = places.select("token").distinct()
+    terms = places.groupBy(F.lower("token").alias("reading"), "key").agg(F.sum("n").alias("n")).groupBy("reading").agg(F.sum("n").alias("usual"), F.count("*").alias("lines"))
     proposed = tokens.mapInArrow(_propose, "token string, reading string, text string").join(terms, "reading")
-    same = terms.select(F.col("reading").alias("own"), F.col("usual").alias("own_n"))
-    better = proposed.join(same, F.lower("token") == F.col("own")).where((F.col("usual") >= least) & (F.col("usual") >= F.col("own_n") * times))
+    same = terms.select(F.col("reading").alias("own"), F.col("usual").alias("own_n"), F.col("lines").alias("own_lines"))
+    often = (F.col("usual") >= F.col("own_n") * times) | (F.col("lines") >= F.col("own_lines") * times)
+    better = proposed.join(same, F.lower("token") == F.col("own")).where((F.col("usual") >= least) & often)
     better = better.groupBy("token").agg(F.max_by("text", F.struct("usual", "text")).alias("reading"))
     quiet = seen.where(F.size("tokens") > 0).select("id", F.explode("tokens").alias("token")).join(better, "token").groupBy("id").agg(F.collect_set(F.struct("token", "reading")).alias("swaps"))
     loud = seen.where("state > 0").select("id", "state", "restored")
@@ -435,7 +446,14 @@ def _swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = []
                 for p in _BLANKS.split(line):
                     core = p.strip(_EDGE)
-                    parts.append(p.replace(core, table[core]) if core in table else p if p.isascii() else repair.token(p)[1])
+                    if core in table:
+                        parts.append(p.replace(core, table[core]))
+                    elif any(c in table for c in _cores(p)):
+                        for q in _INNER.split(p):
+                            core = q.strip(_EDGE)
+                            parts.append(q.replace(core, table[core]) if core in table else q if q.isascii() else repair.token(q)[1])
+                    else:
+                        parts.append(p if p.isascii() else repair.token(p)[1])
                 restored = "".join(parts)
             out.append(line if restored is None else restored)
         yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(2), pa.array(out, pa.string())], names=["id", "state", "line", "restored"])

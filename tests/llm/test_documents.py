@@ -210,6 +210,15 @@ def test_corpus_evidence(spark):
     assert encoding.garbled(df.where("false")).count() == 0
 
 
+def test_hot_garbled_line_and_garbled_fields(spark):
+    right = [(i, f"město číslo {i}") for i in range(12)]
+    hot = [(100 + i, "mìsto") for i in range(30)]
+    inner = [(200, "7;mìsto;x"), (201, "/" + "a" * 70 + "/mìsto,b"), (202, "7;město;x")]
+    df = spark.createDataFrame(right + hot + inner, "item_id bigint, line string")
+    got = {r["id"]: r["restored"] for r in encoding.repaired(df).collect()}
+    assert got == {**{i: "město" for i, _ in hot}, 200: "7;město;x", 201: "/" + "a" * 70 + "/město,b"}
+
+
 # abusive content ---------------------------------------------------------
 
 
