@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linesieve.llm import heavy_hitters as hh
 from linesieve.llm import key_filter, wordsets
+from linesieve.llm import history as history_module
 from linesieve.llm.history import LineHistory
 from linesieve.llm.peeling import PeelingFilter
 from linesieve.llm.term_counts import term_statistics
@@ -232,3 +233,29 @@ def test_term_statistics(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert term_statistics(table(spark, [])).count() == 0
+
+
+def test_only_buckets_of_new_keys_are_read(spark, tmp_path):
+    """Stored buckets that no new band key falls in may be unreadable."""
+    history = LineHistory(spark, str(tmp_path / "h"))
+    past = [(k, 0, " ".join(f"w{k}x{j}" for j in range(10))) for k in range(200)]
+    schema = "item_id bigint, batch_id int, line string"
+    history.ingest(spark.createDataFrame(past, schema), "p0")
+    new = spark.createDataFrame([(1000, 1, past[7][2] + " more")], schema)
+    sets = history_module.distinct_sets(history_module.line_sets(new, id_col="item_id", batch_col="batch_id", key_col="line"))
+    used = {r["band"] % history.buckets for r in history_module.band_rows(sets).collect()}
+    others = [f for f in (tmp_path / "h" / "bands").rglob("*.parquet") if int(f.parent.name.split("=")[1]) not in used]
+    assert others
+    for f in others:
+        f.write_bytes(b"unreadable")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    assert [(r["id"], r["exact"], r["near"]) for r in history.ingest(new, "p1").collect()] == [(1000, False, True)]
+
+
+def test_stored_sets_are_not_paired_again():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 4), pa.array([10, 11, 12, 13]), pa.array([0, 1, 2, 3])], names=["band", "set_id", "first"])
+    for hot in (256, 2):
+        got = [p for b in history_module._meet(hot, 3)(iter([rows])) for p in zip(b["set_id"].to_pylist(), b["other"].to_pylist()) if p[1] is not None]
+        assert got and {a for a, _ in got} == {13}
