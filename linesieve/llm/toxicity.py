@@ -153,7 +153,7 @@ class Vocabulary:
 
 
 def features(ids: list[int], size: int) -> list[int]:
-    """Distinct words and word pairs of a segment, also pairs that skip a word."""
+    """Distinct words and pairs of neighbouring words of a segment."""
     out = {i for i in ids if i > NAME}
     for a, b in zip(ids, ids[1:]):
         if a > UNKNOWN or b > UNKNOWN:
@@ -196,17 +196,24 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-max(worst, -60.0)))) if worst > -np.inf else 0.0
 
 
+#: Place of each identity term, folded, in its group. Unaccented, one of them is an English word.
+_PLACE = {fold(w): (g, k) for g, group in enumerate(IDENTITY) for k, w in enumerate(group)}
+_OTHER_WORDS = ("manner",)
+
+
 def _swaps(sentence: str, most: int = 3) -> list[str]:
-    """Copies of a sentence with one identity term replaced by others of its group."""
-    out = []
+    """Copies of a sentence, not yet folded, with one identity term replaced by others of its group."""
     low = sentence.lower().split()
-    for group in IDENTITY:
-        for i, w in enumerate(low):
-            core = w.strip(".,;:!?")
-            if core in group:
-                k = group.index(core)
-                for j in range(1, min(most, len(group) - 1) + 1):
-                    out.append(" ".join([*low[:i], group[(k + j) % len(group)], *low[i + 1 :]]))
+    hits = []
+    for i, w in enumerate(low):
+        core = w.strip(".,;:!?")
+        if core not in _OTHER_WORDS and (at := _PLACE.get(fold(core))):
+            hits.append((at[0], i, at[1]))
+    out = []
+    for g, i, k in sorted(hits):
+        group = IDENTITY[g]
+        for j in range(1, min(most, len(group) - 1) + 1):
+            out.append(" ".join([*low[:i], group[(k + j) % len(group)], *low[i + 1 :]]))
     return out
 
 
@@ -255,7 +262,8 @@ def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pa
 def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0.2, swap: float = 0.02, least_docs: int = 2) -> Model:
     """Fit on (text, share of reviewers who found it abusive) pairs and the seed sentences; works without documents."""
     seeds = [(s, 1.0) for s in ABUSIVE.splitlines() if s] + [(s, 0.0) for s in NEUTRAL.splitlines() if s]
-    docs = [([fold(s) for s in dict.fromkeys(segments(t))], y) for t, y in documents if t and y != 0.5]
+    cuts = [(list(dict.fromkeys(segments(t))), y) for t, y in documents if t and y != 0.5]
+    docs = [([fold(s) for s in segs], y) for segs, y in cuts]
     seen: Counter[str] = Counter()
     for segs, _ in docs:
         # Names are no words: a capitalised word counts only if its segment is all capitals. Many scripts have no case.
@@ -282,7 +290,8 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
     seed_rows, seed_y = [of(fold(s)) for s, _ in seeds], [y for _, y in seeds]
     pairs = [(of(fold(s)), of(fold(t))) for s, _ in seeds for t in _swaps(s)]
     rows_of = [([of(s) for s in segs], y) for segs, y in docs]
-    pairs += [(of(s), of(t)) for segs, _ in docs for s in segs if len(s) < 300 for t in _swaps(s, 1)][:20000]
+    shared = dict.fromkeys(s for segs, _ in cuts for s in segs)  # a segment that documents share gives its pairs once
+    pairs += [(of(fold(s)), of(fold(t))) for s in shared for t in _swaps(s, 1)]
     negative = Counter(r for rows, y in rows_of if y < 0.5 for r in rows)
     among = Counter(r for rows, y in rows_of if y > 0.5 for r in set(rows))
     usual = lambda r: max(0.0, negative[r] - 1.0 - 0.3 * among[r])

@@ -252,6 +252,18 @@ def test_text_in_tags_and_comments_is_scored(model, form):
     assert model.score(f"The town has a hall {form} and a market.") == pytest.approx(model.score("you are a stupid idiot"), rel=1e-6)
 
 
+def test_identity_swaps_in_documents_are_whole(monkeypatch):
+    seen = []
+    whole = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda rows, y, weight, pairs, **k: seen.append(len(pairs)) or whole(rows, y, weight, pairs, **(k | {"rounds": 1})))
+    toxicity.fit([])
+    for line, more in (("die männer wohnten hier", 1), ("the manner of it", 0), ("les étrangers et les juifs", 2), ("os muçulmanos", 1), ("the jews " + "held a market and " * 30, 1)):
+        toxicity.fit([(line, 0.0)], rounds=0)
+        assert seen[-1] - seen[0] == more, line
+    toxicity.fit([("\n".join(f"the jews of town {i}" for i in range(20_100)), 0.0)], rounds=0)
+    assert seen[-1] - seen[0] == 20_100
+
+
 SCRIPTS = {
     "zh": (["你是个愚蠢的白痴", "他们都是愚蠢的白痴。"], ["这条河长十二公里", "市场在城镇的中心", "这座桥建于十九世纪"], "你们这些愚蠢的白痴"),
     "ja": (["お前は馬鹿な奴だ", "馬鹿な奴らだ。"], ["川の長さは十二キロです", "市場は町の中心にあります", "橋は古いです"], "あの馬鹿な奴"),
