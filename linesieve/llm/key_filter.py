@@ -13,6 +13,7 @@ input reaches its bucket once per batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,11 @@ def compounded(filters: list[PeelingFilter]) -> float:
     return float(1.0 - np.prod([1.0 - f.error for f in filters])) if filters else 0.0
 
 
+def filled(filters: list[PeelingFilter]) -> int:
+    """Generations that can answer wrongly; an empty one never does."""
+    return sum(f.n_keys > 0 for f in filters)
+
+
 def probe(filters: list[PeelingFilter], keys: np.ndarray) -> np.ndarray:
     """Newest generation first; keys already known are not probed again."""
     known = np.zeros(len(keys), bool)
@@ -74,7 +80,7 @@ def _scan(bits: int):
         def close() -> pa.RecordBatch | None:
             ids = np.concatenate([p[0] for p in parts])
             keys = np.concatenate([p[1] for p in parts])
-            seen, chance, n = probe(filters, keys), compounded(filters), len(filters)
+            seen, chance, n = probe(filters, keys), compounded(filters), filled(filters)
             filters.append(PeelingFilter.build(keys[~seen], bits))
             if now == HISTORY:
                 return None
@@ -147,9 +153,11 @@ def answer_rates(items: DataFrame, history: DataFrame | None = None, *, id_col:
     """Per batch: rows, the filters' wrong answers (expected and measured) and those of a recorded verdict.
 
     The truth comes from an exact aggregation over all rows, kept beside the operator as a check.
+    ``expected_wrong_rate`` is the chance that a new key is answered wrongly, compounded over the filled
+    filters that it is probed against, in the mean of the batch's distinct keys.
     ``recorded_unknown`` counts rows whose recorded verdict is null; they are no wrong answers.
     """
-    said = verdicts(items, history, id_col=id_col, batch_col=batch_col, key_col=key_col, history_key=history_key, bits=bits, **options).select("id", F.col("seen").alias("said"), "chance_wrong", "generations")
+    said = verdicts(items, history, id_col=id_col, batch_col=batch_col, key_col=key_col, history_key=history_key, bits=bits, **options).select("id", F.col("seen").alias("said"), "generations")
     h1, h2 = key128(F.col(key_col))
     rows = items.where(F.col(key_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(batch_col).alias("batch_id"), F.col(recorded_col).alias("recorded"), h1.alias("h1"), h2.alias("h2"))
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"))
@@ -166,7 +174,7 @@ def answer_rates(items: DataFrame, history: DataFrame | None = None, *, id_col:
         n(F.col("verdict")).alias("n_seen_said"),
         n(F.col("verdict") & ~F.col("dup")).alias("wrong_seen"),
         n(~F.col("verdict") & F.col("dup")).alias("wrong_new"),
-        (F.max("generations") * F.lit(2.0**-bits)).alias("expected_wrong_rate"),
+        F.avg(-F.expm1(F.col("generations") * F.lit(math.log1p(-(2.0**-bits))))).alias("expected_wrong_rate"),
         (n(F.col("verdict") != F.col("dup")) / F.count("*")).alias("measured_wrong_rate"),
         n(F.col("recorded") & ~F.col("dup")).alias("recorded_wrong_seen"),
         n(~F.col("recorded") & F.col("dup")).alias("recorded_wrong_new"),
@@ -210,7 +218,7 @@ class FilterStore:
             f = PeelingFilter.build(keys[~seen], bits)
             none = lambda n, t: pa.nulls(n, t)
             n = len(ids)
-            rows = [pa.array(ids), pa.array(np.full(n, generation, np.int64)), pa.array(seen), pa.array(np.full(n, len(filters), np.int32)), pa.array(np.where(seen, compounded(filters), 0.0))]
+            rows = [pa.array(ids), pa.array(np.full(n, generation, np.int64)), pa.array(seen), pa.array(np.full(n, filled(filters), np.int32)), pa.array(np.where(seen, compounded(filters), 0.0))]
             rows += [none(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
             a = pa.Table.from_arrays(rows, names=out.names)
             one = [none(1, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.float64())]
