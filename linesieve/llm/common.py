@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Second seed of the 128-bit key identity.
-_SALT = 0x5EED
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where it is unset (tests) choose one."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linesieve-ckpt-"))
-
+from ..runtime import cut, ensure_checkpoint_dir, shared_folder, written
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder, for tables that an operator keeps."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+__all__ = ["cut", "ensure_checkpoint_dir", "key128", "noted", "records", "shared_folder", "slots", "written"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (shared folder), cutting its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Second seed of the 128-bit key identity.
+_SALT = 0x5EED
 
 
 def key128(col: Column) -> tuple[Column, Column]:
@@ -39,6 +19,16 @@ def key128(col: Column) -> tuple[Column, Column]:
     return F.xxhash64(col), F.xxhash64(F.lit(_SALT), col)
 
 
+def noted(seen: Observation) -> dict:
+    """What an observation has seen; nothing if the rows turned out to be none and it fell out of the plan with them."""
+    try:
+        return seen.get
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return {}
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that a wide stage should have at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linesieve.llm import heavy_hitters as hh
-from linesieve.llm import key_filter, wordsets
+from linesieve.llm import key_filter, keyed_table, wordsets
 from linesieve.llm import history as history_module
 from linesieve.llm.history import LineHistory
 from linesieve.llm.peeling import PeelingFilter
@@ -159,7 +159,7 @@ def test_near_repeats(spark, tmp_path, hot):
     past = [r[4] for r in random_prose(100, 9) if r[4]] + ["éa b c d e f g h"]
     history = LineHistory(spark, str(tmp_path / "h"), hot=hot)
     history.ingest(spark.createDataFrame([(k, -5, x) for k, x in enumerate(past)], "item_id bigint, batch_id int, line string"), "past")
-    got = {r["id"] for r in history.ingest(table(spark, rows), "all", keep=False).where("exact or near").collect()}
+    got = {r["id"] for r in history.ingest(table(spark, rows), "all").where("exact or near").collect()}
     want = near_truth(rows, past)
     assert not got - want and len(want - got) <= 0.01 * len(want)
 
@@ -167,7 +167,7 @@ def test_near_repeats(spark, tmp_path, hot):
 def test_near_repeats_batch_by_batch(spark, tmp_path):
     rows = random_prose(500, 11)
     a, b = LineHistory(spark, str(tmp_path / "a")), LineHistory(spark, str(tmp_path / "b"))
-    whole = {r["id"] for r in a.ingest(table(spark, rows), "all", keep=False).where("exact or near").collect()}
+    whole = {r["id"] for r in a.ingest(table(spark, rows), "all").where("exact or near").collect()}
     parts = set()
     for k in range(4):
         parts |= {r["id"] for r in b.ingest(table(spark, rows).where(F.col("batch_id") == k), f"p{k}").where("exact or near").collect()}
@@ -180,7 +180,7 @@ def test_a_hot_family_of_different_near_copies(spark, tmp_path):
     base = [f"b{i}" for i in range(20)]
     rng = random.Random(2)
     rows = [(i + 1, i % 6, "s", i, " ".join(base[:9] + [f"x{i}", f"y{rng.random()}"] + base[9:]) if i % 3 == 0 else " ".join(f"r{rng.randrange(10**6)}" for _ in range(12)), 1) for i in range(1500)]
-    got = {r["id"] for r in LineHistory(spark, str(tmp_path / "f"), hot=16).ingest(table(spark, rows), "all", keep=False).where("near").collect()}
+    got = {r["id"] for r in LineHistory(spark, str(tmp_path / "f"), hot=16).ingest(table(spark, rows), "all").where("near").collect()}
     assert got == near_truth(rows)
 
 
@@ -245,20 +245,72 @@ def test_term_statistics(spark):
 
 
 def test_only_buckets_of_new_keys_are_read(spark, tmp_path):
-    """Stored buckets that no new band key falls in may be unreadable."""
-    history = LineHistory(spark, str(tmp_path / "h"))
-    past = [(k, 0, " ".join(f"w{k}x{j}" for j in range(10))) for k in range(200)]
-    schema = "item_id bigint, batch_id int, line string"
-    history.ingest(spark.createDataFrame(past, schema), "p0")
-    new = spark.createDataFrame([(1000, 1, past[7][2] + " more")], schema)
-    sets = history_module.distinct_sets(history_module.line_sets(new, id_col="item_id", batch_col="batch_id", key_col="line"))
-    used = {r["band"] % history.buckets for r in history_module.band_rows(sets).collect()}
-    others = [f for f in (tmp_path / "h" / "bands").rglob("*.parquet") if int(f.parent.name.split("=")[1]) not in used]
-    assert others
-    for f in others:
-        f.write_bytes(b"unreadable")
-        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
-    assert [(r["id"], r["exact"], r["near"]) for r in history.ingest(new, "p1").collect()] == [(1000, False, True)]
+    """Stored buckets that no new key falls in may be unreadable; with four times the history no more rows are read."""
+    schema, read = "item_id bigint, batch_id int, line string", {}
+    for n in (1000, 4000):
+        history = LineHistory(spark, str(tmp_path / f"h{n}"), rows_per_bucket=1000)
+        past = [(k, 0, " ".join(f"w{k}x{j}" for j in range(10))) for k in range(n)]
+        history.ingest(spark.createDataFrame(past, schema), "p0", batch=0)
+        new = spark.createDataFrame([(10_000, 1, past[7][2] + " more")], schema)
+        lines = history_module.line_sets(new.selectExpr("item_id as id", "cast(1 as bigint) as batch", "line")).selectExpr("h1", "h2", "batch", "id", "set_id", "cast(null as bigint) as since", "words")
+        keys = lines.mapInArrow(history_module._entries(28, 5), history_module._KEYS).where("kind = 2").select("key")
+        t = history.table
+        assert t.n == n * 30
+        used = {r[0] for r in keys.selectExpr(f"pmod(hash(key), {t.buckets})").collect()}
+        files = list((tmp_path / f"h{n}" / "keys").rglob("*.parquet"))
+        others = [f for f in files if int(f.name.split("_")[1].split(".")[0]) not in used]
+        read[n] = sum(spark.read.parquet(str(f)).count() for f in set(files) - set(others))
+        assert others
+        kept = {f: f.read_bytes() for f in others}
+        for f in others:
+            f.write_bytes(b"unreadable")
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+        assert t.matching(keys, but="").count() >= 1
+        for f, raw in kept.items():
+            f.write_bytes(raw)
+        assert [(r["id"], r["exact"], r["near"]) for r in history.ingest(new, "p1", batch=1).collect()] == [(10_000, False, True)]
+    assert read[4000] < 1.5 * read[1000] < 15_000
+
+
+def test_tables_grow_merge_and_reopen(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed_table, "APPENDS", 3)
+    t = keyed_table.KeyedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", "k", rows_per_bucket=50)
+    assert t.rows().count() == 0
+    for i in range(8):
+        t.append(spark.range(i * 100, i * 100 + 100).selectExpr("id as k", "id * 2 as v"), f"p{i}")
+        t.settle()
+    again = keyed_table.KeyedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", "k", rows_per_bucket=50)
+    assert (again.n, again.buckets) == (800, t.buckets) and t.buckets > 4 and len(list((tmp_path / "t").iterdir())) == 1
+    for keys in (spark.range(150, 170), spark.range(150, 170 + keyed_table.FEW)):
+        got = again.matching(keys.selectExpr("id as k"), but="p7")
+        assert {r["k"] for r in got.collect()} == set(range(150, min(170 + (keys.count() > 20) * 1000, 700)))
+    again.drop("p3")
+    assert again.n == 700 and again.rows(only="p3").count() == 0
+
+
+def test_history_after_a_failure_and_in_another_session(spark, tmp_path):
+    rows = random_prose(600, 13)
+    path = str(tmp_path / "h")
+    first = LineHistory(spark, path)
+    want = []
+    for b in range(4):
+        df = table(spark, rows).where(F.col("batch_id") == b)
+        want.append({(r["id"], r["exact"], r["near"]) for r in first.ingest(df, f"p{b}", batch=b).collect()})
+        if b == 2:  # the call is repeated, by a history that is opened anew
+            first = LineHistory(spark, path)
+            assert {(r["id"], r["exact"], r["near"]) for r in first.ingest(df, f"p{b}", batch=b).collect()} == want[-1]
+    cases = {i for part in want for i, exact, near in part if exact or near}
+    truth = near_truth(rows)
+    assert not cases - truth and len(truth - cases) <= 0.01 * len(truth)
+
+
+def test_frequent_band_keys_are_split_from_the_others():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = np.where(rng.random(300_000) < 0.01, 7, rng.integers(0, 2**62, 300_000))
+    got = list(history_module._frequent(256)(iter([pa.RecordBatch.from_arrays([pa.array(x)], names=["band"]) for x in np.array_split(rows, 31)])))
+    assert [b["band"].to_pylist() for b in got] == [[7]]
 
 
 def test_stored_sets_are_not_paired_again():
