@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,22 +70,71 @@ def sliced_positions(data: bytes, hashes: int, per_hash: int, seed: int = SCALIN
     return [((h1 + i * h2) & 0xFFFFFFFF) % per_hash + i * per_hash for i in range(hashes)]
 
 
+def murmur3_arrays(keys: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`murmur3_128` of many keys as two arrays; keys of one length are hashed together."""
+    u = np.uint64
+    c1, c2 = u(_C1), u(_C2)
+    turn = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    low_word = lambda w: turn(w * c1, 31) * c2
+    high_word = lambda w: turn(w * c2, 33) * c1
+
+    def finish(x: np.ndarray) -> np.ndarray:
+        for factor in (_FMIX1, _FMIX2):
+            x = (x ^ (x >> u(33))) * u(factor)
+        return x ^ (x >> u(33))
+
+    lengths = np.array([len(k) for k in keys], np.int64)
+    first, second = np.zeros(len(keys), u), np.zeros(len(keys), u)
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        words = max(2, -(-int(length) // 16) * 2)
+        raw = np.zeros((len(rows), words * 8), np.uint8)
+        if length:
+            raw[:, :length] = np.frombuffer(b"".join(keys[i] for i in rows), np.uint8).reshape(len(rows), length)
+        w = raw.view("<u8")
+        a, b = np.full(len(rows), seed, u), np.full(len(rows), seed, u)
+        whole = int(length) // 16
+        for k in range(whole):
+            a = (turn(a ^ low_word(w[:, 2 * k]), 27) + b) * u(5) + u(_ADD1)
+            b = (turn(b ^ high_word(w[:, 2 * k + 1]), 31) + a) * u(5) + u(_ADD2)
+        if length % 16 or not length:
+            b = b ^ high_word(w[:, 2 * whole + 1])
+            a = a ^ low_word(w[:, 2 * whole])
+        a, b = a ^ u(length), b ^ u(length)
+        a = a + b
+        b = b + a
+        a, b = finish(a), finish(b)
+        first[rows] = a + b
+        second[rows] = b + first[rows]
+    return first, second
+
+
 class HashFamily:
-    """Positions of a key column as an array column; nulls hash like any other key."""
+    """Two halves of a key column, and the positions made of them; nulls hash like any other key.
+
+    The halves stand for the key wherever its text isn't needed: they are what travels.
+    """
 
     name = ""
 
     def halves(self, key: Column) -> tuple[Column, Column]:
-        """Two non-negative numbers below 2**62."""
+        """Two numbers, non-negative and below 2**62 unless the family says otherwise."""
         raise NotImplementedError
 
-    def positions(self, key: Column, hashes: int, bits: int) -> Column:
-        a, b = self.halves(key)
+    def one(self, a: Column, b: Column, i: int, bits: int) -> Column:
+        """Position ``i`` of the two halves."""
         m = F.lit(bits).cast("bigint")
-        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (a % m + i.cast("bigint") * (b % m)) % m)
+        return (a % m + F.lit(i).cast("bigint") * (b % m)) % m
+
+    def at(self, a: Column, b: Column, hashes: int, bits: int, sliced: bool = False) -> Column:
+        """Positions from the two halves, as an array of plain expressions; ``sliced`` gives each its own range of ``bits``."""
+        return F.array(*(self.one(a, b, i, bits) + F.lit(i * bits if sliced else 0).cast("bigint") for i in range(hashes)))
+
+    def positions(self, key: Column, hashes: int, bits: int) -> Column:
+        return self.at(*self.halves(key), hashes, bits)
 
     def bucket(self, key: Column, buckets: int) -> Column:
-        return (self.halves(key)[0] % F.lit(buckets)).cast("int")
+        return F.pmod(self.halves(key)[0], F.lit(buckets)).cast("int")
 
 
 class XxHash(HashFamily):
@@ -109,7 +159,7 @@ class Md5(HashFamily):
 
 
 class Murmur3(HashFamily):
-    """The positions of the original filter bit by bit, through an Arrow UDF."""
+    """The positions of the original filter bit by bit: halves through an Arrow UDF, positions as expressions."""
 
     name = "murmur3"
 
@@ -117,26 +167,27 @@ class Murmur3(HashFamily):
         self.seed = seed
 
     def halves(self, key: Column) -> tuple[Column, Column]:
+        """All 64 bits of both, as signed numbers."""
         seed = self.seed
 
         @F.pandas_udf("a bigint, b bigint")
         def both(keys: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for s in keys:
-                got = [murmur3_128(b"\x00null" if k is None else k.encode("utf-8", "surrogatepass"), seed) for k in s]
-                yield pd.DataFrame({"a": [a >> 2 for a, _ in got], "b": [b >> 2 for _, b in got]}, dtype="int64")
+                a, b = murmur3_arrays([b"\x00null" if k is None else k.encode("utf-8", "surrogatepass") for k in s], seed)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         h = both(key)
         return h["a"], h["b"]
 
-    def positions(self, key: Column, hashes: int, bits: int) -> Column:
-        seed = self.seed
-
-        @F.pandas_udf("array<bigint>")
-        def at(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in keys:
-                yield s.map(lambda k: murmur3_positions(b"\x00null" if k is None else k.encode("utf-8", "surrogatepass"), hashes, bits, seed))
-
-        return at(key)
+    def one(self, a: Column, b: Column, i: int, bits: int) -> Column:
+        """(a + i b) mod 2**64 mod ``bits``, below 2**47, on unsigned numbers: by words of 32 bits, reduced by 16 bits at a time."""
+        word, m, i = F.lit(0xFFFFFFFF), F.lit(bits).cast("bigint"), F.lit(i).cast("bigint")
+        low, high = (lambda x: x.bitwiseAND(word)), (lambda x: F.shiftrightunsigned(x, 32))
+        under = low(a) + i * low(b)
+        over = (high(a) + i * high(b) + F.shiftright(under, 32)).bitwiseAND(word)
+        under = under.bitwiseAND(word)
+        first = (over % m * F.lit(65536) + F.shiftright(under, 16)) % m
+        return (first * F.lit(65536) + under.bitwiseAND(F.lit(65535))) % m
 
 
 def family(name: str) -> HashFamily:

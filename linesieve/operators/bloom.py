@@ -45,24 +45,36 @@ def partitioned_unique(df: DataFrame, key: str, order: str, params: BloomParams,
     return firsts.join(owners, firsts[order] == F.col("_own"), "left_semi")
 
 
+def with_halves(df: DataFrame, key: str, family: HashFamily) -> DataFrame:
+    """``df`` with the two halves of its key as ``_a`` and ``_b``."""
+    a, b = family.halves(F.col(key))
+    return df.withColumn("_a", a).withColumn("_b", b)
+
+
 def hits(probe: DataFrame, key: str, model: DataFrame, params: BloomParams, family: HashFamily = DEFAULT_FAMILY) -> DataFrame:
-    """Distinct keys of ``probe`` whose positions are all set in ``model`` (a relation with ``pos``)."""
-    keys = probe.select(F.col(key).alias("_key")).distinct()
-    rows = keys.select("_key", F.explode(F.array_distinct(family.positions(F.col("_key"), params.hashes, params.bits))).alias("pos"))
+    """The halves (``_a``, ``_b``) of the keys of ``probe`` whose positions are all set in ``model`` (a relation with ``pos``).
+
+    The texts of the keys stay where they are: 16 bytes a key are spread over its positions.
+    """
+    keys = with_halves(probe, key, family).select("_a", "_b").distinct()
+    rows = keys.select("_a", "_b", F.explode(F.array_distinct(family.at(F.col("_a"), F.col("_b"), params.hashes, params.bits))).alias("pos"))
     need = rows.join(model.select("pos", F.lit(1).alias("_set")), "pos", "left")
-    return need.groupBy("_key").agg(F.min(F.coalesce("_set", F.lit(0))).alias("_all")).where("_all = 1").select("_key")
+    return need.groupBy("_a", "_b").agg(F.min(F.coalesce("_set", F.lit(0))).alias("_all")).where("_all = 1").select("_a", "_b")
+
+
+def _by_hits(probe: DataFrame, key: str, model: DataFrame, params: BloomParams, family: HashFamily, how: str) -> DataFrame:
+    known = hits(probe, key, model, params, family)
+    return with_halves(probe, key, family).join(known, ["_a", "_b"], how).select(*probe.columns)
 
 
 def semi(probe: DataFrame, key: str, model: DataFrame, params: BloomParams, family: HashFamily = DEFAULT_FAMILY) -> DataFrame:
     """Rows of ``probe`` whose key the filter knows; no key that was added is missed."""
-    known = hits(probe, key, model, params, family)
-    return probe.join(known, probe[key].eqNullSafe(known["_key"]), "left_semi")
+    return _by_hits(probe, key, model, params, family, "left_semi")
 
 
 def anti(probe: DataFrame, key: str, model: DataFrame, params: BloomParams, family: HashFamily = DEFAULT_FAMILY) -> DataFrame:
     """Rows of ``probe`` whose key the filter doesn't know; none of them was added."""
-    known = hits(probe, key, model, params, family)
-    return probe.join(known, probe[key].eqNullSafe(known["_key"]), "left_anti")
+    return _by_hits(probe, key, model, params, family, "left_anti")
 
 
 def merged(*models: DataFrame) -> DataFrame:

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import HashFamily
 from ..functions.sizing import BloomParams, ScalingParams
-from .bloom import DEFAULT_FAMILY
+from .bloom import DEFAULT_FAMILY, with_halves
 
 SATURATION = 15
 
 
-def _positions(family: HashFamily, key: Column, params: BloomParams | ScalingParams) -> Column:
-    """Positions of a key; a sliced filter has one slice of counters per hash function."""
+def _at(family: HashFamily, a: Column, b: Column, params: BloomParams | ScalingParams) -> Column:
+    """Positions from the halves of a key; a sliced filter has one slice of counters per hash function."""
     if isinstance(params, ScalingParams):
-        inner = family.positions(key, params.hashes, params.per_hash)
-        return F.transform(inner, lambda p, i: p + i.cast("bigint") * F.lit(params.per_hash).cast("bigint"))
-    return F.array_distinct(family.positions(key, params.hashes, params.bits))
+        return family.at(a, b, params.hashes, params.per_hash, sliced=True)
+    return F.array_distinct(family.at(a, b, params.hashes, params.bits))
+
+
+def _positions(family: HashFamily, key: Column, params: BloomParams | ScalingParams) -> Column:
+    return _at(family, *family.halves(key), params)
 
 
 def counters(df: DataFrame, key: str, params: BloomParams | ScalingParams, family: HashFamily = DEFAULT_FAMILY, sign: int = 1) -> DataFrame:
@@ -40,12 +43,20 @@ def merged(*models: DataFrame) -> DataFrame:
 
 
 def estimates(probe: DataFrame, key: str, model: DataFrame, params: BloomParams | ScalingParams, family: HashFamily = DEFAULT_FAMILY) -> DataFrame:
-    """Each distinct key with ``estimate``: the smallest of its counters, 0 to 15, never below min(count, 15)."""
-    keys = probe.select(F.col(key)).distinct()
-    rows = keys.select(key, F.explode(_positions(family, F.col(key), params)).alias("pos"))
+    """Each distinct key with ``estimate``: the smallest of its counters, 0 to 15, never below min(count, 15).
+
+    The halves of the keys visit the counters; the keys themselves are fetched at the end.
+    """
+    keys = with_halves(probe.select(F.col(key)).distinct(), key, family)
+    rows = keys.select("_a", "_b", F.explode(_at(family, F.col("_a"), F.col("_b"), params)).alias("pos"))
     got = rows.join(model, "pos", "left")
     n = F.least(F.min(F.greatest(F.coalesce("n", F.lit(0)), F.lit(0))), F.lit(SATURATION))
-    return got.groupBy(key).agg(n.cast("int").alias("estimate"))
+    return keys.join(got.groupBy("_a", "_b").agg(n.cast("int").alias("estimate")), ["_a", "_b"]).select(key, "estimate")
+
+
+def faults(model: DataFrame) -> DataFrame:
+    """One row: counters that 4 bits can't hold (``overflows``) and counters taken below zero (``underflows``)."""
+    return model.agg(F.count_if(F.col("n") > SATURATION).alias("overflows"), F.count_if(F.col("n") < 0).alias("underflows"))
 
 
 def contains(probe: DataFrame, key: str, model: DataFrame, params: BloomParams | ScalingParams, family: HashFamily = DEFAULT_FAMILY) -> DataFrame:
@@ -57,12 +68,14 @@ def prior_counts(df: DataFrame, key: str, order: str, params: BloomParams, famil
     """For each row, ``prior``: the smallest counter of its key before the row, up to 15; 0 means new.
 
     Only the first 16 rows of a key and of a position can matter: later ones have a count of 15. The rank
-    filters are pushed below the shuffle, so a hot key or position sends at most 16 rows a task.
+    filters are pushed below the shuffle, so a hot key or position sends at most 16 rows a task. Keys are
+    ranked by their halves; their texts aren't moved for it.
     """
     most = SATURATION + 1
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    early = df.select(key, order).withColumn("_r", rank).where(F.col("_r") <= most).select(key, order)
-    rows = early.select(F.col(order), F.explode(_positions(family, F.col(key), params)).alias("pos"))
+    keyed = with_halves(df.select(key, order), key, family)
+    rank = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(order))
+    early = keyed.select("_a", "_b", order).withColumn("_r", rank).where(F.col("_r") <= most)
+    rows = early.select(F.col(order), F.explode(_at(family, F.col("_a"), F.col("_b"), params)).alias("pos"))
     at = F.row_number().over(Window.partitionBy("pos").orderBy(order))
     # A row beyond the first 16 of a position finds 15 there, so it is left out and counts as saturated.
     low = rows.withColumn("_n", at).where(F.col("_n") <= most).groupBy(order).agg((F.min("_n") - 1).alias("_least"))

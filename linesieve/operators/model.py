@@ -16,7 +16,7 @@ from ..functions.sizing import BloomParams, ScalingParams, bloom_params
 from ..runtime import exists
 from . import bloom
 from .exact import first_occurrences
-from .scaling import Level, ScalingResult
+from .scaling import Level, ScalingResult, scaling_anti, scaling_unique
 
 META = "kind string, capacity bigint, error_rate double, bits bigint, hashes int, family string, max_id bigint, mem_seqnum bigint, disk_seqnum bigint"
 
@@ -59,19 +59,68 @@ def load(spark: SparkSession, path: str, entries: int | None = None, error: floa
     return Model(bits, bloom_params(m["capacity"], m["error_rate"]), m["family"], m["max_id"], m["mem_seqnum"])
 
 
+def kind_of(spark: SparkSession, path: str) -> str:
+    """``fixed``, ``counting`` or ``scaling``; raises if there is no finished model."""
+    if not exists(spark, f"{path}/meta"):
+        raise FileNotFoundError(f"no model in {path}")
+    m = spark.read.schema(META).parquet(f"{path}/meta").first()
+    if m is None or m["disk_seqnum"] != m["mem_seqnum"]:
+        raise ValueError("the model was not written to its end")
+    return m["kind"]
+
+
+def unknown(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Rows whose key the saved filter, fixed or scaling, doesn't know."""
+    spark = df.sparkSession
+    if kind_of(spark, path) == "scaling":
+        bits, levels = load_scaling(spark, path)
+        return scaling_anti(df, key, bits, levels, family_of(spark.read.schema(META).parquet(f"{path}/meta").first()["family"]))
+    m = load(spark, path)
+    return bloom.anti(df, key, m.positions, m.params, family_of(m.family))
+
+
 def incremental_unique(df: DataFrame, key: str, order: str, path: str) -> DataFrame:
     """First occurrences that the saved filter doesn't know, with their order; the filter itself stays as it is."""
-    m = load(df.sparkSession, path)
-    return bloom.anti(first_occurrences(df, key, order), key, m.positions, m.params, family_of(m.family))
+    return unknown(first_occurrences(df, key, order), key, path)
 
 
 def extend(df: DataFrame, key: str, order: str, path: str, new_max_id: int) -> None:
-    """Add the keys of ``df``, whose orders lie above those of the model, and write the next number."""
+    """Add the keys of ``df``, whose orders lie above those of the model, to a fixed filter, and write the next number."""
     m = load(df.sparkSession, path)
     more = bloom.build(df.withColumn(order, F.col(order).cast("bigint")), key, order, m.params, family_of(m.family))
     save(bloom.merged(m.positions, more), path, m.params, m.family, new_max_id, m.seqnum + 1)
 
 
+def extended(df: DataFrame, key: str, order: str, path: str, into: str) -> None:
+    """Adds the keys of ``df`` to the saved filter of ``path`` and saves the result under ``into``, which may be the same.
+
+    A fixed filter keeps its size. A scaling filter goes on with further sub-filters for the keys that it
+    doesn't know. Orders of ``df`` count from the highest order of the model on.
+    """
+    spark = df.sparkSession
+    kind = kind_of(spark, path)
+    old = spark.read.schema(META).parquet(f"{path}/meta").first()
+    seqnum = old["mem_seqnum"] + 1
+    shifted = df.withColumn(order, F.col(order).cast("bigint") + F.lit(old["max_id"]))
+    top = int(shifted.agg(F.max(order)).first()[0] or old["max_id"])
+    if kind == "scaling":
+        bits, levels = load_scaling(spark, path)
+        family = family_of(old["family"])
+        fresh = scaling_anti(shifted.select(key, order), key, bits, levels, family)
+        if not fresh.take(1):
+            more = ScalingResult(fresh, bits, levels)
+        else:
+            got = scaling_unique(fresh, key, order, old["capacity"], old["error_rate"], family, first_level=levels[-1].level + 1)
+            first = got.levels[0]
+            began = int(fresh.agg(F.min(order)).first()[0])
+            more = ScalingResult(got.accepted, bits.unionByName(got.model.select(*bits.columns)), [*levels, Level(first.level, first.params, began, first.count), *got.levels[1:]])
+        save_scaling(more, into, old["family"], top, seqnum, old["error_rate"])
+    else:
+        m = load(spark, path)
+        new = bloom.build(shifted, key, order, m.params, family_of(m.family))
+        save(bloom.merged(m.positions, new), into, m.params, m.family, top, seqnum)
+
+
 LEVELS = "level int, capacity bigint, error_rate double, hashes int, per_hash bigint, start_id bigint, count bigint"
 
 
@@ -84,11 +133,11 @@ def save_counters(counts: DataFrame, path: str, params: BloomParams, family: str
     _write_meta(spark, path, (*row, seqnum))
 
 
-def save_scaling(result: ScalingResult, path: str, family: str = "xxhash64", max_id: int = 0, seqnum: int = 1) -> None:
+def save_scaling(result: ScalingResult, path: str, family: str = "xxhash64", max_id: int = 0, seqnum: int = 1, error: float | None = None) -> None:
     """Write the positions and levels of a scaling filter under ``path``."""
     spark = result.model.sparkSession
     first = result.levels[0].params
-    row = ("scaling", first.capacity, first.error * 2, 0, 0, family, max_id, seqnum)
+    row = ("scaling", first.capacity, first.error * 2 if error is None else error, 0, 0, family, max_id, seqnum)
     _write_meta(spark, path, (*row, 0))
     result.model.select("level", "pos", "min_order").write.mode("overwrite").parquet(f"{path}/bits-{seqnum}")
     rows = [(v.level, v.params.capacity, v.params.error, v.params.hashes, v.params.per_hash, v.start, v.count) for v in result.levels]
@@ -96,12 +145,13 @@ def save_scaling(result: ScalingResult, path: str, family: str = "xxhash64", max
     _write_meta(spark, path, (*row, seqnum))
 
 
-def load_scaling(spark: SparkSession, path: str, capacity: int, error: float, family: str = "xxhash64") -> tuple[DataFrame, list[Level]]:
-    """Positions and levels of a saved scaling filter; raises if capacity, error rate or family differ."""
+def load_scaling(spark: SparkSession, path: str, capacity: int | None = None, error: float | None = None, family: str | None = None) -> tuple[DataFrame, list[Level]]:
+    """Positions and levels of a saved scaling filter; raises if a given capacity, error rate or family differs."""
     m = spark.read.schema(META).parquet(f"{path}/meta").first()
     if m is None or m["disk_seqnum"] != m["mem_seqnum"]:
         raise ValueError("the model was not written to its end")
-    if (m["kind"], m["capacity"], m["family"]) != ("scaling", capacity, family) or abs(m["error_rate"] - error) > 1e-12:
+    other = (capacity is not None and m["capacity"] != capacity) or (family is not None and m["family"] != family)
+    if m["kind"] != "scaling" or other or (error is not None and abs(m["error_rate"] - error) > 1e-12):
         raise ValueError("the model has other parameters")
     rows = spark.read.schema(LEVELS).parquet(f"{path}/levels-{m['mem_seqnum']}").orderBy("level").collect()
     levels = [Level(r["level"], ScalingParams(r["capacity"], r["error_rate"], r["hashes"], r["per_hash"]), r["start_id"], r["count"]) for r in rows]

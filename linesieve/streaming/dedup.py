@@ -40,15 +40,17 @@ def bloom_unique_stream(lines: DataFrame, key: str, capacity: int, error: float,
             pdf = pdf.drop_duplicates(["h1", "h2"])
             a, b = pdf["h1"].to_numpy(np.int64) % m, pdf["h2"].to_numpy(np.int64) % m
             at = (a[:, None] + np.arange(k)[None, :] * b[:, None]) % m
-            new = []
-            for row in at:  # in turn, since a key sees what the one before it set
-                byte, mask = row >> 3, (1 << (row & 7)).astype(np.uint8)
-                if ((bits[byte] & mask) == 0).any():
-                    np.bitwise_or.at(bits, byte, mask)
-                    new.append(True)
-                else:
-                    new.append(False)
-            yield pd.DataFrame({"line": pdf["line"][np.array(new, bool)]})
+            byte, mask = at >> 3, (1 << (at & 7)).astype(np.uint8)
+            new = ((bits[byte] & mask) == 0).any(axis=1)
+            rows = np.flatnonzero(new)
+            # Rows that share no position with another open row settle each by themselves, all at once.
+            _, where, times = np.unique(at[rows], return_inverse=True, return_counts=True)
+            shared = (times[where.reshape(at[rows].shape)] > 1).any(axis=1)
+            for i in rows[shared]:  # in turn, since a key sees what the one before it set
+                new[i] = ((bits[byte[i]] & mask[i]) == 0).any()
+                np.bitwise_or.at(bits, byte[i], mask[i])
+            np.bitwise_or.at(bits, byte[rows[~shared]], mask[rows[~shared]])
+            yield pd.DataFrame({"line": pdf["line"][new]})
         state.update((bits.tobytes(),))
 
     mask = F.lit((1 << 62) - 1).cast("bigint")

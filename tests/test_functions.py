@@ -79,3 +79,17 @@ def test_escapes(spark):
     assert got[0]["c"] == '"' + text.replace('"', '""').replace("\n", " ") + '"'
     assert json.loads(got[0]["o"]) == {"line": text}
     assert got[1]["c"] == '""' and got[2]["c"] is None
+
+
+@given(st.lists(st.binary(max_size=70), max_size=30), st.integers(0, 2**32 - 1))
+@settings(max_examples=60, deadline=None)
+def test_murmur_on_arrays(keys, seed):
+    a, b = hashing.murmur3_arrays(keys, seed)
+    assert [(int(x), int(y)) for x, y in zip(a, b)] == [hashing.murmur3_128(k, seed) for k in keys]
+
+
+@pytest.mark.parametrize("bits", [9585, 95_850_583, 2**40 + 15, 2**46 + 1])
+def test_murmur_positions_as_expressions(spark, bits):
+    keys = [f"key {i}" for i in range(40)]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", hashing.Murmur3().positions(F.col("k"), 9, bits).alias("p")).collect()
+    assert {r["k"]: r["p"] for r in got} == {k: hashing.murmur3_positions(k.encode(), 9, bits) for k in keys}
