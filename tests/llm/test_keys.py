@@ -175,6 +175,23 @@ def test_near_repeats_batch_by_batch(spark, tmp_path):
     assert parts == whole and again <= whole
 
 
+def test_near_repeats_with_as_many_buckets_as_tasks(spark, tmp_path):
+    """The tables' own clustering must not be taken for that of the rows which meet."""
+    rows = random_prose(1600, 17)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        history = LineHistory(spark, str(tmp_path / "h"), rows_per_bucket=4000)
+        for b in range(4):
+            history.accept(table(spark, rows).where(F.col("batch_id") == b), f"p{b}", batch=b)
+            if b == 0:
+                assert history.table.buckets == 24
+        got = {r["id"] for r in history.verdicts([f"p{b}" for b in range(4)]).where("exact or near").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = near_truth(rows)
+    assert not got - want and len(want - got) <= 0.01 * len(want)
+
+
 def test_a_hot_family_of_different_near_copies(spark, tmp_path):
     """A third of all rows differ from one another in two words of twenty: nearly all share a bucket."""
     base = [f"b{i}" for i in range(20)]
