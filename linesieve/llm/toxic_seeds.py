@@ -157,6 +157,51 @@ vocês são todos uns imbecis
 vou te matar, desgraçado
 os estrangeiros são ratos
 é um burro e um merda
+sei un idiota e un pezzo di merda
+stai zitta, brutta troia
+vaffanculo, stronzo
+gli stranieri sono feccia, via tutti
+je bent een domme klootzak
+hou je bek, vuile hoer
+jesteś głupim idiotą
+zamknij się, ty głupia kurwo
+sen bir aptalsın, orospu çocuğu
+kapa çeneni, gerizekalı
+ты тупой идиот
+заткнись, тупая сука
+иди на хуй, мудак
+вы все дебилы и уроды
+я тебя убью, тварь
+приезжие это мусор, их надо гнать
+всех этих тварей надо убивать
+сдохни, мразь
+你是个白痴
+傻逼
+你这个傻逼
+去死吧，贱人
+滚开，蠢货
+你们都是垃圾
+操你妈
+我要杀了你
+外国人都是垃圾，滚出去
+お前は馬鹿だ
+死ね、クズ
+うざい、消えろ、ブス
+殺してやる
+外国人はゴミだ、出て行け
+너는 멍청한 새끼야
+닥쳐, 병신
+죽어라, 개새끼
+외국인은 쓰레기다
+أنت غبي حقير
+اخرس يا كلب
+سأقتلك يا حيوان
+الأجانب قذارة
+אתה אידיוט מטומטם
+תסתום את הפה, זבל
+तू बेवकूफ कुत्ता है
+चुप रह कमीने
+मैं तुझे मार डालूंगा
 """
 
 #: Neutral uses of the same words: reports, quotations, definitions, science, play, swearing at nobody.
@@ -273,4 +318,64 @@ he has been here and she was there until they came
 he is a man and a good father, nobody knows why
 look at that table, it makes me want to read
 go to the end of the page and watch it again
+a museum about the history of the town opened in spring
+there is a house, a mill and a river in the valley
+it was a good year for a small town
+he was a painter and she was a teacher at a school
+a road leads from the village to a bridge
+the article is about a plant with white flowers
+this is a list of the mayors of the city
+a new edition of the book was printed
+the shop sells bread, milk and meat to all who come by
+they met in a small room and wrote a letter to the king
+you can read more about it on the next page
+that was a long walk, and all of us were tired
+what is a good source for this table
+la parola idiota indicava una persona privata
+le donne e gli uomini del villaggio
+sei un buon amico, ti vedo domani
+het woord idioot betekende ooit een privépersoon
+je bent een goede vriend, ik kom morgen
+słowo idiota oznaczało dawniej osobę prywatną
+jesteś dobrym przyjacielem
+aptal kelimesi eski bir sözlükte geçer
+sen iyi bir arkadaşsın
+слово идиот раньше означало частное лицо
+река длинная, мост старый
+ты хороший друг, я приду завтра
+вы все добрые люди и живёте в городе
+в городе живут приезжие и местные
+мусор вывозят каждую неделю
+小说白痴出版于十九世纪
+这条河长十二公里
+你是个好朋友，我明天去看你
+你们都是学生
+外国人住在城里
+垃圾每周收集一次
+市场在城镇的中心
+お前は町の子だ
+川の長さは十二キロです
+外国人は町に住んでいる
+ゴミは毎週集められる
+너는 좋은 친구야
+외국인은 도시에 산다
+강은 아주 길다
+أنت صديق جيد
+الأجانب يعيشون في المدينة
+النهر طويل جدا
+الكلب حيوان أليف
+אתה חבר טוב
+הנהר ארוך מאוד
+तू अच्छा दोस्त है
+कुत्ता एक जानवर है
+मैं कल आऊंगा
 """
+
+#: Neutral frames by the language of an identity group (its place in IDENTITY); each takes every term of its groups.
+FRAMES = (
+    ((0, 1, 2, 3, 4), ("{}", "{} people", "the {} people of the town", "{} people are welcome here", "{} are welcome here", "many {} live in this town", "{} people live in this town", "some {} came to the mill and worked there", "all {} are equal before the law", "they are {} and proud of it", "he is {}", "she is {}", "you are {}", "i met two {} people today", "my {} friends are teachers", "my neighbours are {} and their friends are {}")),
+    ((5,), ("{}", "die {} wohnen hier", "viele {} arbeiten in der stadt", "alle {} sind willkommen", "{} sind gute nachbarn")),
+    ((6,), ("{}", "les {} vivent ici", "beaucoup de {} travaillent en ville", "tous les {} sont les bienvenus")),
+    ((7,), ("{}", "los {} viven aquí", "muchos {} trabajan en la ciudad", "todos los {} son bienvenidos", "las {} viven aquí")),
+    ((8,), ("{}", "os {} vivem aqui", "muitos {} trabalham na cidade", "todos os {} são bem-vindos", "as {} vivem aqui")),
+)

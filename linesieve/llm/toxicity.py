@@ -8,7 +8,9 @@ The model is fitted on labelled sentences and on a bounded sample of reviewed do
 label says only that some segment is abusive, or none: the segments of positive documents that the model
 finds worst are taken as positive, all segments of negative ones as negative, and the fit is repeated.
 For every labelled sentence with an identity term, copies with another term of its group are made, and the
-squared difference of the scores is part of the loss; names and unknown words have no weight of their own.
+squared difference of the scores is part of the loss, as is that of a bare term against no text at all;
+neutral frames are filled with every term. Names and unknown words have no weight of their own. The
+threshold is set by the fit, above the score of text that consists of unknown words.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import normal_source
-from .toxic_seeds import ABUSIVE, IDENTITY, NEUTRAL
+from .toxic_seeds import ABUSIVE, FRAMES, IDENTITY, NEUTRAL
 
 #: Letters that look like Latin ones, and signs used for letters.
 LOOKALIKE = dict(zip("аеорсухіѕјкмтвнАЕОРСУХІКМТВНαορνικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxisjkmtbhAEOPCYXIKMTBHaopviktuABEZHIKMNOPTYX"))
@@ -97,6 +99,8 @@ def _is_word(word: str) -> bool:
 
 
 UNKNOWN, NAME = 0, 1
+#: A fit's threshold is at least this, and this many times the score of unknown words.
+LEAST_THRESHOLD, ABOVE_UNKNOWN = 0.08, 2.5
 
 
 @dataclass
@@ -168,7 +172,7 @@ class Model:
     vocabulary: Vocabulary
     weights: dict[int, float]
     offset: float
-    threshold: float = 0.08
+    threshold: float = LEAST_THRESHOLD
 
     def segment_score(self, segment: str) -> float:
         get, size = self.weights.get, self.vocabulary.size
@@ -201,8 +205,8 @@ _PLACE = {fold(w): (g, k) for g, group in enumerate(IDENTITY) for k, w in enumer
 _OTHER_WORDS = ("manner",)
 
 
-def _swaps(sentence: str, most: int = 3) -> list[str]:
-    """Copies of a sentence, not yet folded, with one identity term replaced by others of its group."""
+def _swaps(sentence: str, copies: int | None = None) -> list[str]:
+    """Copies of a sentence, not yet folded, with one identity term replaced by each other one of its group, or by the next ``copies``."""
     low = sentence.lower().split()
     hits = []
     for i, w in enumerate(low):
@@ -212,7 +216,7 @@ def _swaps(sentence: str, most: int = 3) -> list[str]:
     out = []
     for g, i, k in sorted(hits):
         group = IDENTITY[g]
-        for j in range(1, min(most, len(group) - 1) + 1):
+        for j in range(1, len(group) if copies is None else min(copies + 1, len(group))):
             out.append(" ".join([*low[:i], group[(k + j) % len(group)], *low[i + 1 :]]))
     return out
 
@@ -232,14 +236,18 @@ class _Rows:
         return np.bincount(self.at, g[self.row], size)
 
 
-def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[tuple[int, ...], tuple[int, ...]]], *, ridge: float, swap: float, rounds: int = 250) -> tuple[dict[int, float], float]:
-    """Weighted logistic regression with a ridge and a penalty on squared score differences of ``pairs``, by Adam."""
+def _framed() -> list[str]:
+    return [frame.format(term, term) for groups, frames in FRAMES for g in groups for term in IDENTITY[g] for frame in frames]
+
+
+def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[tuple[int, ...], tuple[int, ...]]], *, ridge: float, swap: float, bare: list[tuple[int, ...]] = (), mention: float = 0.0, rounds: int = 250) -> tuple[dict[int, float], float]:
+    """Weighted logistic regression with a ridge, a penalty on squared score differences of ``pairs``, and one on what ``bare`` rows add to the offset, by Adam."""
     index: dict[int, int] = {}
-    for r in [*rows, *(p for pair in pairs for p in pair)]:
+    for r in [*rows, *(p for pair in pairs for p in pair), *bare]:
         for f in r:
             index.setdefault(f, len(index))
     n = len(index)
-    x, a, b = _Rows(rows, index), _Rows([p for p, _ in pairs], index), _Rows([q for _, q in pairs], index)
+    x, a, b, e = _Rows(rows, index), _Rows([p for p, _ in pairs], index), _Rows([q for _, q in pairs], index), _Rows(list(bare), index)
     w, c = np.zeros(n), -2.0
     m, v, mc, vc = np.zeros(n), np.zeros(n), 0.0, 0.0
     total = weight.sum()
@@ -250,6 +258,8 @@ def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pa
         if len(pairs):
             d = a.dot(w) - b.dot(w)
             grad += swap * 2 / len(pairs) * (a.back(d, n) - b.back(d, n))
+        if len(bare):
+            grad += mention * 2 / len(bare) * e.back(e.dot(w), n)
         gc = float(g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mc, vc = 0.9 * mc + 0.1 * gc, 0.999 * vc + 0.001 * gc * gc
@@ -259,9 +269,14 @@ def _logistic(rows: list[tuple[int, ...]], y: np.ndarray, weight: np.ndarray, pa
     return {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(c)
 
 
-def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0.2, swap: float = 0.02, least_docs: int = 2) -> Model:
-    """Fit on (text, share of reviewers who found it abusive) pairs and the seed sentences; works without documents."""
-    seeds = [(s, 1.0) for s in ABUSIVE.splitlines() if s] + [(s, 0.0) for s in NEUTRAL.splitlines() if s]
+def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0.2, swap: float = 0.02, mention: float = 0.5, swaps_per_segment: int = 1, least_docs: int = 2) -> Model:
+    """Fit on (text, share of reviewers who found it abusive) pairs and the seed sentences; works without documents.
+
+    ``swap`` and ``mention`` weigh the counterfactual penalties. A labelled seed gives a pair for every other
+    term of a group, a segment of a document for the next ``swaps_per_segment`` terms.
+    """
+    framed = _framed()
+    seeds = [(s, 1.0) for s in ABUSIVE.splitlines() if s] + [(s, 0.0) for s in NEUTRAL.splitlines() if s] + [(s, 0.0) for s in framed]
     cuts = [(list(dict.fromkeys(segments(t))), y) for t, y in documents if t and y != 0.5]
     docs = [([fold(s) for s in segs], y) for segs, y in cuts]
     seen: Counter[str] = Counter()
@@ -269,7 +284,7 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         # Names are no words: a capitalised word counts only if its segment is all capitals. Many scripts have no case.
         seen.update({w.lower() for s in segs for w in raw_words(s) if _is_word(w) and (w.islower() or s.isupper() or w.lower() == w.upper())})
     words = Counter({w: n for w, n in seen.items() if n >= least_docs and len(w) < 30})
-    plain = [w for s, _ in seeds for w in raw_words(fold(s)) if w.isalpha()]
+    plain = [w for s, _ in seeds for w in raw_words(fold(s)) if _is_word(w)]
     words.update({w.lower(): 1000 for w in plain})
     for group in IDENTITY:
         words.update({fold(w): 1 for w in group})
@@ -288,10 +303,11 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         return made[segment]
 
     seed_rows, seed_y = [of(fold(s)) for s, _ in seeds], [y for _, y in seeds]
-    pairs = [(of(fold(s)), of(fold(t))) for s, _ in seeds for t in _swaps(s)]
+    pairs = [(of(fold(s)), of(fold(t))) for s, _ in seeds[: -len(framed)] for t in _swaps(s)]
+    bare = [of(fold(term)) for group in IDENTITY for term in group]
     rows_of = [([of(s) for s in segs], y) for segs, y in docs]
     shared = dict.fromkeys(s for segs, _ in cuts for s in segs)  # a segment that documents share gives its pairs once
-    pairs += [(of(fold(s)), of(fold(t))) for s in shared for t in _swaps(s, 1)]
+    pairs += [(of(fold(s)), of(fold(t))) for s in shared for t in _swaps(s, swaps_per_segment)]
     negative = Counter(r for rows, y in rows_of if y < 0.5 for r in rows)
     among = Counter(r for rows, y in rows_of if y > 0.5 for r in set(rows))
     usual = lambda r: max(0.0, negative[r] - 1.0 - 0.3 * among[r])
@@ -308,7 +324,7 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
         # Copies of a segment count by the square root of their number; a negative document may be labelled wrongly.
         weight = np.r_[100.0, np.where(np.array(seed_y) > 0, 4.0, 2.0), 3.0 * np.sqrt([positive[r] for r in positive]) if positive else [], [np.sqrt(n) * (0.1 if score(r) > 0 and n <= 2 else 1.0) for r, n in calm.items()]]
         # the fits before the last only choose segments
-        model = _logistic(rows, y, weight, pairs, ridge=ridge, swap=swap, rounds=250 if k == rounds else 100)
+        model = _logistic(rows, y, weight, pairs, ridge=ridge, swap=swap, bare=bare, mention=mention, rounds=250 if k == rounds else 100)
         weights, offset = model
         score = lambda r: offset + sum(weights.get(f, 0.0) for f in r)  # noqa: B023, E731
         positive, others = Counter(), Counter()
@@ -324,7 +340,7 @@ def fit(documents: list[tuple[str, float]], *, rounds: int = 4, ridge: float = 0
                     positive[best] += 1
                     others.update(r for r in rest if score(r) < -1.0)
     weights, offset = model
-    return Model(vocabulary, weights, offset)
+    return Model(vocabulary, weights, offset, max(LEAST_THRESHOLD, ABOVE_UNKNOWN / (1.0 + np.exp(-offset))))
 
 
 def _score(model: Model, text_at: int):
@@ -338,14 +354,16 @@ def _score(model: Model, text_at: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, **options) -> Model:
-    """Fit on at most ``max_labelled`` reviewed documents (the smallest hashes of their ids).
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, max_characters: int = 100_000_000, **options) -> Model:
+    """Fit on at most ``max_labelled`` reviewed documents (the smallest hashes of their ids), of ``max_characters`` together.
 
     Several judgements of a document are averaged, null judgements and documents without text are left
-    out. This bound is the only one; every document is scored in whole.
+    out. These bounds hold for the fit only, whose sample is collected; every document is scored in whole.
     """
     votes = labels.where("toxic is not null").groupBy(F.col(id_col).alias("_id")).agg(F.avg("toxic").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(votes, "_id").where(F.col("_text").isNotNull()).select("_id", "_text", "y").toPandas().sort_values("_id", kind="stable")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(votes, "_id").where(F.col("_text").isNotNull())
+    upto = F.sum(F.length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")))  # of the sample only
+    got = texts.withColumn("_upto", upto).where(F.col("_upto") <= max_characters).select("_id", "_text", "y").toPandas().sort_values("_id", kind="stable")
     return fit(list(zip(got["_text"], got["y"])), **options)
 
 
@@ -358,7 +376,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return chosen.mapInArrow(_score(model, len(keep) + 1), schema)
 
 
-def rates(scores: DataFrame, threshold: float = 0.08) -> DataFrame:
+def rates(scores: DataFrame, threshold: float = LEAST_THRESHOLD) -> DataFrame:
     """Per source (spelled alike; null is a source of its own): documents, flagged ones, their share and the mean score."""
     flagged = F.col("score") >= threshold
     return (

@@ -11,6 +11,7 @@ from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from linesieve.llm import encoding, mixing, packing, toxicity
+from linesieve.llm.toxic_seeds import IDENTITY
 from linesieve.llm.tokens import TOKENIZER_PATH, with_sizes
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(TOKENIZER_PATH), reason="no tokenizer files here")
@@ -291,12 +292,37 @@ def test_short_segments_are_scored(model):
 def test_identity_terms_hardly_change_scores():
     docs = [("the muslims held a market", 0.0), ("the town of the jews is old", 0.0), ("muslims are vermin", 1.0), ("muslims are rats", 1.0), ("gay people are vermin", 1.0)] * 3
 
-    def gap(swap):
-        m = toxicity.fit(docs, swap=swap)
+    def gap(swap, **more):
+        m = toxicity.fit(docs, swap=swap, **more)
         s = [m.segment_score(f"the {w} held a market in the town") for w in ("muslims", "jews", "christians", "hindus")]
         return max(s) - min(s)
 
-    assert gap(0.5) < 0.5 * gap(0.0) + 1e-9
+    without = gap(0.0, mention=0.0)
+    assert gap(0.5) < 0.5 * without + 1e-9
+    assert gap(toxicity.fit.__kwdefaults__["swap"]) < 0.5 * without + 1e-9
+
+
+MENTIONS = ["{} people are welcome here", "{} live in this town", "my neighbours are {} and kind", "two {} women run the shop", "a museum about {} opened", "{}"]
+
+
+@pytest.mark.parametrize("labels", [[], [("the muslims held a market", 0.0), ("you stupid idiot", 1.0), ("gay people are vermin", 1.0)] * 3])
+def test_neutral_mentions_of_every_group_stay_below_the_threshold(labels):
+    m = toxicity.fit(labels)
+    english = [w for group in IDENTITY[:5] for w in group]
+    assert {w: m.score(f.format(w)) for w in english for f in MENTIONS if m.score(f.format(w)) >= m.threshold} == {}
+    assert max(m.score(w) for group in IDENTITY for w in group) < m.threshold
+    assert min(m.score(x) for x in ("gay people are vermin", "muslims are rats", "black people are animals, kill them")) > m.threshold
+
+
+def test_unknown_words_are_never_flagged(model):
+    assert model.threshold > 1.5 * model.score("qwx zzyv plorm")
+    assert max(map(model.score, ("qwx zzyv plorm", "Qwx Zzyv", "Ђуро њива", "12 km", "გამარჯობა მსოფლიო"))) < model.threshold
+
+
+@pytest.mark.parametrize("text", ["傻逼", "你是个白痴", "ты тупой идиот", "お前は馬鹿だ", "sei un idiota", "너는 멍청한 새끼야", "أنت غبي حقير", "תסתום את הפה, זבל", "sen bir aptalsın"])
+def test_abuse_in_further_languages(model, text):
+    assert model.score(text) > 0.5
+    assert model.score(f"The town has a market hall. <i>{text}</i> It is old.") > 0.5
 
 
 def test_held_out_documents(spark, sf_dir):
@@ -307,7 +333,7 @@ def test_held_out_documents(spark, sf_dir):
     rest = labels.where("doc_id % 3 = 0 and toxic is not null").groupBy("doc_id").avg("toxic").withColumnsRenamed({"avg(toxic)": "y"})
     got = toxicity.scored(docs.join(rest, "doc_id"), m, keep={"y": "y"}).toPandas()
     hit, calm = got[got["y"] > 0.5]["score"], got[got["y"] < 0.5]["score"]
-    assert (calm >= m.threshold).mean() < 0.03 and (hit >= m.threshold).mean() > 0.4  # many positive labels are wrong
+    assert (calm >= m.threshold).mean() < 0.03 and (hit >= m.threshold).mean() > 0.6  # about a quarter of the positive labels are wrong
 
 
 def test_rates_and_edges(spark, model):
