@@ -29,7 +29,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = term_statistics(_table(spark, sf_dir, "work_item_t"), only=1)
+    terms = term_statistics(_table(spark, sf_dir, "work_item_t"), max_terms=1)
     return terms.where("mark is not null").select("term", "mark")
 
 
