@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slots
 
 #: Encodings that bytes may have been read with, most usual first.
 READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1254", "iso8859_2", "cp1253", "cp852", "cp1257")
@@ -288,7 +288,7 @@ def _utf8_reading(token: str, was: int, depth: int = 0) -> str | None:
         if text is None:
             continue
         again = oddness(text)
-        if again and depth < 2 and k < 6 and (more := _utf8_reading(text, again, depth + 1)) is not None:
+        if again and depth < 2 and (more := _utf8_reading(text, again, depth + 1)) is not None:
             text, again = more, oddness(more)
         if again < was and all(map(common, text)):
             if not again:
@@ -364,7 +364,7 @@ class Repairer:
                 parts = re.split(r"(?<=[\x21-\x7e])(?=[\x21-\x7e])", token)
                 if len(parts) > 1:
                     each = [self.token(p) if not p.isascii() else (0, p, False) for p in parts]
-                    return max(k for k, _, _ in each), "".join(t for _, t, _ in each), False
+                    return max(k for k, _, _ in each), "".join(t for _, t, _ in each), any(m for _, _, m in each)
             if options := readings(token):
                 got = (2 if any(kind(c)[0] in ("r", "c") for c in options[0]) else 1, options[0], len(options) > 1)
             else:
@@ -423,7 +423,7 @@ def garbled(items: DataFrame, *, id_col: str = "item_id", line_col: str = "line"
     rows = items.where(F.col(line_col).rlike(r"[^\x00-\x7F]")).select(F.col(id_col).alias("id"), F.col(line_col).alias("line"), F.xxhash64(line_col).alias("key"))
     seen = cut(rows.mapInArrow(_scan, f"id {dict(rows.dtypes)['id']}, state int, restored string, tokens array<string>, key bigint"))
     places = seen.select(F.explode("tokens").alias("token"), "key").groupBy("token", "key").agg(F.count("*").alias("n"))
-    tokens = places.select("token").distinct()
+    tokens = places.select("token").distinct().repartition(slots(items.sparkSession), "token")  # few bytes, much work
     terms = places.groupBy(F.lower("token").alias("reading"), "key").agg(F.sum("n").alias("n")).groupBy("reading").agg(F.sum("n").alias("usual"), F.count("*").alias("lines"))
     proposed = tokens.mapInArrow(_propose, "token string, reading string, text string").join(terms, "reading")
     same = terms.select(F.col("reading").alias("own"), F.col("usual").alias("own_n"), F.col("lines").alias("own_lines"))
