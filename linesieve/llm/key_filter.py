@@ -154,7 +154,8 @@ def answer_rates(items: DataFrame, history: DataFrame | None = None, *, id_col:
 
     The truth comes from an exact aggregation over all rows, kept beside the operator as a check.
     ``expected_wrong_rate`` is the chance that a new key is answered wrongly, compounded over the filled
-    filters that it is probed against, in the mean of the batch's distinct keys.
+    filters that it is probed against, ``measured_wrong_rate`` the share that was; both are of the rows
+    whose key is new (``n_new``), the only ones that filters can be wrong about, and null without such rows.
     ``recorded_unknown`` counts rows whose recorded verdict is null; they are no wrong answers.
     """
     said = verdicts(items, history, id_col=id_col, batch_col=batch_col, key_col=key_col, history_key=history_key, bits=bits, **options).select("id", F.col("seen").alias("said"), "generations")
@@ -174,8 +175,9 @@ def answer_rates(items: DataFrame, history: DataFrame | None = None, *, id_col:
         n(F.col("verdict")).alias("n_seen_said"),
         n(F.col("verdict") & ~F.col("dup")).alias("wrong_seen"),
         n(~F.col("verdict") & F.col("dup")).alias("wrong_new"),
-        F.avg(-F.expm1(F.col("generations") * F.lit(math.log1p(-(2.0**-bits))))).alias("expected_wrong_rate"),
-        (n(F.col("verdict") != F.col("dup")) / F.count("*")).alias("measured_wrong_rate"),
+        n(~F.col("dup")).alias("n_new"),
+        F.avg(F.when(~F.col("dup"), -F.expm1(F.col("generations") * F.lit(math.log1p(-(2.0**-bits)))))).alias("expected_wrong_rate"),
+        F.avg(F.when(~F.col("dup"), F.col("verdict").cast("double"))).alias("measured_wrong_rate"),
         n(F.col("recorded") & ~F.col("dup")).alias("recorded_wrong_seen"),
         n(~F.col("recorded") & F.col("dup")).alias("recorded_wrong_new"),
         n(F.col("recorded").isNull()).alias("recorded_unknown"),
