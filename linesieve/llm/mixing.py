@@ -73,7 +73,7 @@ def land(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
         t, w, d = tokens[free].astype(float), float((tokens[free] * p[free]).sum()), float(p[free].sum())
         picks = [np.array([(m >> i) & 1 for i in range(len(free))], float) for m in range(1 << len(free))]
         p[free] = min(picks, key=lambda x: (abs(float((t * x).sum()) - w), abs(float(x.sum()) - d)))
-    for _ in range(64):
+    while True:  # ends, since each step comes nearer and there are finitely many choices
         miss = want - float((tokens * p).sum())
         ways = [(abs(miss), 0.0, ())]
         ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
@@ -120,34 +120,68 @@ def normal_source(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"[-\s]+", "_")
 
 
-def rates(available: dict[str, float], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
-    """Times that a record of each source is wanted on average.
+def rates(available: dict[str, float], targets: dict[str, tuple[float, int]], total: float | None = None, tolerance: float = 0.0) -> dict[str, float]:
+    """Times that a record of each source is wanted on average; a source stops at its cap.
 
-    Without ``total`` the mixture is the largest in which every source that has records reaches its share
-    (shares of sources without records are spread over the others in proportion); with it, sources that
-    would need more than their cap stop at the cap.
+    Shares of sources without records are spread over the others in proportion. With ``total``, so many
+    tokens are aimed at. Without it, the mixture is the largest in which the share of no source that has
+    records is further than ``tolerance`` from its (spread) target: at 0, every source reaches it.
     """
     there = {s: (share, cap) for s, (share, cap) in targets.items() if available.get(s, 0) > 0 and share > 0 and cap > 0}
     if not there:
         return {}
     whole = sum(share for share, _ in there.values())
-    if total is None:
-        total = min(cap * available[s] * whole / share for s, (share, cap) in there.items())
-    return {s: min(float(cap), total * share / whole / available[s]) for s, (share, cap) in there.items()}
+    at = lambda total: {s: min(float(cap), total * share / whole / available[s]) for s, (share, cap) in there.items()}
+    if total is not None:
+        return at(total)
+    full = sorted(cap * available[s] * whole / share for s, (share, cap) in there.items())
+    low, high = full[0], full[-1]  # beyond the last, all sources are at their caps
+    if deviation(available, there, at(high)) <= tolerance:
+        return at(high)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if deviation(available, there, at(mid)) <= tolerance else (low, mid)
+    return at(low)
+
+
+def deviation(available: dict[str, float], targets: dict[str, tuple[float, int]], rate: dict[str, float]) -> float:
+    """Largest distance of the share of a source that has records from its target, spread over these sources."""
+    whole = sum(targets[s][0] for s in rate)
+    total = sum(rate[s] * available[s] for s in rate)
+    return max(abs(rate[s] * available[s] / total - targets[s][0] / whole) for s in rate)
+
+
+def _sums(sizes: DataFrame, targets: DataFrame) -> tuple[dict[str, tuple[float, int]], dict[str, tuple[float, int]]]:
+    """(share, cap) of each target and (tokens, records) of each source that has one: a row per target reaches the driver."""
+    got = {r["source"]: (float(r["share"]), int(r["cap"])) for r in targets.where("source is not null and target_share is not null and max_repeats is not null").groupBy(normal_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}
+    have = {r["source"]: (float(r["t"]), int(r["n"])) for r in sizes.where(F.col("source").isin(list(got)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()} if got else {}
+    return got, have
+
 
+def tradeoff(sizes: DataFrame, targets: DataFrame, tolerances: tuple[float, ...]) -> DataFrame:
+    """For each tolerance: tokens of the mixture, their share of all tokens of the sources, the largest deviation reached, and the sources at their cap."""
+    got, have = _sums(sizes.select("id", normal_source(F.col("source")).alias("source"), "n_tokens").where("id is not null"), targets)
+    tokens = {s: t for s, (t, _) in have.items()}
+    rows = []
+    for tolerance in tolerances:
+        rate = rates(tokens, got, tolerance=tolerance)
+        if rate:
+            total = sum(rate[s] * tokens[s] for s in rate)
+            rows.append((tolerance, int(total), total / sum(tokens.values()), deviation(tokens, got, rate), sum(rate[s] >= got[s][1] - 1e-9 for s in rate)))
+    return sizes.sparkSession.createDataFrame(rows, "tolerance double, tokens bigint, of_all double, deviation double, sources_at_cap int")
 
-def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, block: int = 50_000) -> DataFrame:
+
+def mix(sizes: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, tolerance: float = 0.0, block: int = 50_000) -> DataFrame:
     """``id, source, n_tokens, repeats`` of every record; ``repeats`` 0 means that it isn't used.
 
     ``sizes``: ``id``, ``source``, ``n_tokens``; ``targets``: ``source``, ``target_share``, ``max_repeats``, a
     few rows. Sources are compared by :func:`normal_source`. Records without source, target or tokens
-    have 0 repeats; rows with a null id are left out, ids are unique. Ties and equal sizes need no care:
+    have 0 repeats; rows with a null id are left out, ids are unique. ``total_tokens`` and ``tolerance``: see :func:`rates`. Ties and equal sizes need no care:
     the document constraint alone then moves the fractions.
     """
     sizes = cut(sizes.select("id", normal_source(F.col("source")).alias("source"), "n_tokens").where("id is not null"))
-    got = {r["source"]: (float(r["share"]), int(r["cap"])) for r in targets.where("source is not null and target_share is not null and max_repeats is not null").groupBy(normal_source(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()}
-    have = {r["source"]: (float(r["t"]), int(r["n"])) for r in sizes.where(F.col("source").isin(list(got)) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()} if got else {}
-    rate = rates({s: t for s, (t, _) in have.items()}, got, total_tokens)
+    got, have = _sums(sizes, targets)
+    rate = rates({s: t for s, (t, _) in have.items()}, got, total_tokens, tolerance)
     if not rate:
         return sizes.withColumn("repeats", F.lit(0).cast("bigint"))
     r = F.create_map(*(x for s, v in rate.items() for x in (F.lit(s), F.lit(v))))[F.col("source")]

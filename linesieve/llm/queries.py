@@ -46,6 +46,11 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_filter.answer_rates(_table(spark, sf_dir, "work_item_t"), _table(spark, sf_dir, "accepted_lines"))
 
 
+def p3_rates_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with fingerprints of 8 bits, which do answer wrongly now and then."""
+    return key_filter.answer_rates(_table(spark, sf_dir, "work_item_t"), _table(spark, sf_dir, "accepted_lines"), bits=8)
+
+
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accepted lines are ingested first, then one batch after another; each batch meets only what is stored."""
     history = LineHistory(spark, shared_folder(spark, "line-history"))
@@ -101,8 +106,12 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unused(_placed(spark, sf_dir), _table(spark, sf_dir, "containers"))
 
 
+#: p7: how far the share of a source may be from its target, so that a rare source doesn't decide the size of the mixture.
+MIX_TOLERANCE = 0.03
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_sizes(spark, sf_dir, source="source"), _table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_sizes(spark, sf_dir, source="source"), _table(spark, sf_dir, "mix_targets"), tolerance=MIX_TOLERANCE)
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +122,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
 
 
+def p7_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total that each tolerance allows."""
+    return mixing.tradeoff(_sizes(spark, sf_dir, source="source"), _table(spark, sf_dir, "mix_targets"), (0.0, 0.0025, 0.005, 0.01, 0.02, 0.05, 0.1, 1.0))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "review_labels"))
