@@ -1,8 +1,9 @@
-"""Command line: ``python -m linesieve.cli [options] PATH... --out FOLDER``."""
+"""Command line: ``python -m linesieve.cli [options] [PATH...] [--out FOLDER]``; without a path, or with ``-``, standard input is read."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import sys
 import time
@@ -15,8 +16,8 @@ log = logging.getLogger("linesieve")
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="linesieve", description="Remove, find or count duplicate lines.")
-    p.add_argument("paths", nargs="+", help="text files or folders")
-    p.add_argument("--out", help="folder for the result; without it a few lines are shown")
+    p.add_argument("paths", nargs="*", default=["-"], help="text files or folders; - is standard input, as is no path at all")
+    p.add_argument("--out", help="folder for the result; without it, it goes to standard output, line by line")
     p.add_argument("-v", "--version", action="version", version=f"linesieve {__version__}")
     p.add_argument("-d", "--debug", type=int, default=0, metavar="N", help="0 to 9")
     p.add_argument("-e", "--error", type=float, default=DEFAULT_ERROR, help="error rate of filters")
@@ -50,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from .operators import stats
     from .plans import pipeline, sinks
-    from .sources.text import read_lines
+    from .sources.text import kept_stream, read_lines
 
     a = parser().parse_args(argv)
     try:
@@ -61,16 +62,22 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.DEBUG if a.debug > 1 else logging.INFO if a.debug else logging.WARNING)
     spark = SparkSession.builder.appName("linesieve").config("spark.ui.showConsoleProgress", str(a.progress).lower()).getOrCreate()
     began = time.perf_counter()
-    lines = read_lines(spark, a.paths, max_input_bytes=o.max_input_bytes)
+    paths = [kept_stream(spark, sys.stdin.buffer) if p == "-" else p for p in a.paths]
+    lines = read_lines(spark, paths, max_input_bytes=o.max_input_bytes)
     out = pipeline.run(lines, o)
+
+    def statistics() -> str:
+        return stats.finished(stats.line_statistics(lines, "line"), time.perf_counter() - began, o.error_rate).toJSON().first()
+
     if a.out:
         sinks.write(out, a.out, o.fmt)
     else:
-        for r in sinks.rendered(out, o.fmt).orderBy("ord").limit(20).collect():
-            print(r["value"])
-    if o.stats:
-        counted = stats.finished(stats.line_statistics(lines, "line"), time.perf_counter() - began, o.error_rate)
-        print(counted.toJSON().first(), file=sys.stderr)
+        document = o.stats and o.fmt == "json"
+        for piece in sinks.json_document(out, json.loads(statistics())) if document else sinks.texts(out, o.fmt):
+            sys.stdout.write(piece + "\n")
+        sys.stdout.flush()
+    if o.stats and (a.out or o.fmt != "json"):
+        print(statistics(), file=sys.stderr)
     log.info("done in %.1f s", time.perf_counter() - began)
     return 0
 

@@ -19,9 +19,9 @@ def csv_quoted(line: Column) -> Column:
     return F.concat(F.lit('"'), doubled, F.lit('"'))
 
 
-def json_line(line: Column) -> Column:
-    """A line as a JSON object, all control characters escaped."""
-    return F.to_json(F.struct(line.alias("line")))
+def json_line(line: Column, count: Column | None = None) -> Column:
+    """A line, and its count if there is one, as a JSON object, all control characters escaped."""
+    return F.to_json(F.struct(line.alias("line"), *([] if count is None else [count.alias("cnt")])))
 
 
 def prefix_bytes(line: Column, most: int) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MODES = ("unique", "duplicates", "groups", "once", "counts")
 METHODS = ("exact", "bloom", "scaling", "partitioned", "auto")
 FORMATS = ("text", "json", "csv", "tsv")
@@ -19,6 +22,12 @@ def file_capacity(n_bytes: int) -> int:
     return max(LEAST_CAPACITY, min(MOST_FILE_CAPACITY, n_bytes // 20 * 3 // 2))
 
 
+def file_capacity_column(n_bytes: Column) -> Column:
+    """:func:`file_capacity` of a column of sizes."""
+    lines = F.floor(F.floor(n_bytes / 20) * 3 / 2)
+    return F.greatest(F.lit(LEAST_CAPACITY), F.least(F.lit(MOST_FILE_CAPACITY), lines)).cast("bigint")
+
+
 def stream_error(error_rate: float) -> float:
     """An unbounded input is never filtered more strictly than the default."""
     return max(error_rate, DEFAULT_ERROR)

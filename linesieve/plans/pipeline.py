@@ -13,7 +13,7 @@ from ..operators import bloom, exact, model, scaling
 from ..options import LEAST_CAPACITY, DedupOptions
 from ..sources.text import line_key
 
-#: Lines of a level of a scaling filter, as long as no capacity is given.
+#: Least lines of a sub-filter of a scaling filter, as long as no capacity is given.
 SCALING_CAPACITY = 1_000_000
 
 
@@ -33,6 +33,9 @@ def run(lines: DataFrame, options: DedupOptions | None = None) -> DataFrame:
 
     ``lines`` has ``ord`` (unique) and ``line``, and ``had_newline`` for ``strict_newline``; further columns
     are ignored. Duplicates are all later occurrences; groups, once and counts have one row per key.
+    With ``load_model`` only lines count that the saved filter doesn't know (duplicates: the others, too);
+    with ``save_model`` as well, the saved filter goes on with the lines and is saved again, else a new
+    one is saved. A result is taken from the filter as it was before.
     Sort by ``ord`` at the sink if the input order is wanted.
     """
     o = options or DedupOptions()
@@ -42,6 +45,9 @@ def run(lines: DataFrame, options: DedupOptions | None = None) -> DataFrame:
     plain = not o.strict_newline and o.max_line_bytes is None
     rows = lines.select("ord", "line", *([] if plain else [key.alias("_key")]))
     k = "line" if plain else "_key"
+    result = None
+    if o.load_model and o.mode in ("counts", "groups", "once"):  # of lines that the saved filter doesn't know
+        rows = model.unknown(rows, k, o.load_model)
     if o.mode == "counts":
         out = exact.counts(rows, k, "ord")
     elif o.mode == "groups":
@@ -53,8 +59,10 @@ def run(lines: DataFrame, options: DedupOptions | None = None) -> DataFrame:
     elif o.method == "exact":
         out = exact.first_occurrences(rows, k, "ord")
     elif o.method == "scaling":
-        capacity = SCALING_CAPACITY if o.capacity == "auto" else int(o.capacity)
-        out = scaling.scaling_unique(rows, k, "ord", capacity, o.error_rate, family_of(o.family)).accepted.drop("level")
+        # Few sub-filters, however many lines there are.
+        capacity = max(SCALING_CAPACITY, estimated_capacity(rows, k) // 8) if o.capacity == "auto" else int(o.capacity)
+        result = scaling.scaling_unique(rows, k, "ord", capacity, o.error_rate, family_of(o.family))
+        out = result.accepted.drop("level")
     else:
         params = filter_params(rows, k, o)
         family = family_of(o.family)
@@ -63,7 +71,11 @@ def run(lines: DataFrame, options: DedupOptions | None = None) -> DataFrame:
             out = bloom.partitioned_unique(rows, k, "ord", each, o.num_buckets, family)
         else:
             out = bloom.unique(rows, k, "ord", params, family)
-    if o.save_model:
+    if o.save_model and o.load_model:
+        model.extended(lines.select("ord", "line", *([] if plain else [key.alias("_key")])), k, "ord", o.load_model, o.save_model)
+    elif o.save_model and result is not None:
+        model.save_scaling(result, o.save_model, o.family, int(rows.agg(F.max("ord")).first()[0] or 0), error=o.error_rate)
+    elif o.save_model:
         params = filter_params(rows, k, o)
         top = rows.agg(F.max("ord")).first()[0] or 0
         model.save(bloom.build(rows, k, "ord", params, family_of(o.family)), o.save_model, params, o.family, int(top))

@@ -1,5 +1,6 @@
 """Text files, whole runs, sinks, streams and the command line."""
 
+import io
 import json
 
 import pytest
@@ -91,6 +92,28 @@ def test_save_and_load(spark, tmp_path):
     assert [tuple(r) for r in pipeline.run(more, DedupOptions(load_model=path)).collect()] == [("c", 4)]
 
 
+@pytest.mark.parametrize("method", ["exact", "scaling"])
+def test_save_and_load_together_extend(spark, tmp_path, method):
+    a, b, path = tmp_path / "a", tmp_path / "b", str(tmp_path / "a")
+    frame = lambda *x: spark.createDataFrame(list(enumerate(x, 1)), "ord bigint, line string")
+    run = lambda df, **o: {r["line"] for r in pipeline.run(df, DedupOptions(method=method, capacity=1000, error_rate=1e-4, **o)).collect()}
+    assert run(frame("a", "b"), save_model=path) == {"a", "b"}
+    assert run(frame("b", "c"), load_model=path, save_model=str(b)) == {"c"}
+    assert run(frame("a", "b", "c", "d"), load_model=str(b)) == {"d"}
+    assert run(frame("c", "d"), load_model=str(b), save_model=str(b)) == {"d"}
+    assert run(frame("a", "d", "e", "e"), load_model=str(b)) == {"e"}
+    counts = pipeline.run(frame("a", "e", "e"), DedupOptions(mode="counts", load_model=str(b))).collect()
+    assert [(r["line"], r["cnt"]) for r in counts] == [("e", 2)]
+    assert a.exists()
+
+
+@pytest.mark.parametrize("raw,ends", [(b"\xef\xbb\xbfa\nb\n", True), (b"\xef\xbb\xbfa\nb", False), (b"\xff\n\xc3", False), (b"\n", True), (b"a\r\n", True)])
+def test_last_newline(spark, tmp_path, raw, ends):
+    (tmp_path / "f.txt").write_bytes(raw)
+    got = read_lines(spark, str(tmp_path / "f.txt")).orderBy("ord").collect()
+    assert [r["had_newline"] for r in got] == [True] * (len(got) - 1) + [ends]
+
+
 @pytest.mark.parametrize("bad", [{"mode": "x"}, {"method": "x"}, {"fmt": "x"}, {"family": "x"}, {"error_rate": 0}, {"error_rate": 1}, {"capacity": 10}, {"num_buckets": 0}, {"limit": 0}, {"method": "scaling", "mode": "counts"}])
 def test_bad_options(bad):
     with pytest.raises(ValueError):
@@ -115,10 +138,21 @@ def test_sinks(spark, tmp_path, fmt):
     else:
         got = [r[0] for r in spark.read.text(path).collect()]
     assert sorted(got) == sorted(lines)
-    doc = json.loads(sinks.json_document(df, {"total_lines": 5}))
-    assert [x["line"] for x in doc["lines"]] == lines
-    with pytest.raises(ValueError):
-        sinks.json_document(df, {}, most_lines=2)
+    doc = json.loads("".join(sinks.json_document(df, {"total_lines": 5})))
+    assert [x["line"] for x in doc["lines"]] == lines and doc["statistics"] == {"total_lines": 5}
+    assert json.loads("".join(sinks.json_document(df.where("false"), {})))["lines"] == []
+
+
+@pytest.mark.parametrize("fmt,want", [("text", ["2 a,\"b", "1 c"]), ("tsv", ["a,\"b\t2", "c\t1"]), ("csv", ["line,cnt", '"a,""b",2', '"c",1']), ("json", ['{"line":"a,\\"b","cnt":2}', '{"line":"c","cnt":1}'])])
+def test_counts_in_every_format(spark, tmp_path, fmt, want):
+    df = spark.createDataFrame([(1, "a,\"b", 2), (2, "c", 1)], "ord bigint, line string, cnt bigint")
+    assert list(sinks.texts(df, fmt)) == want
+    sinks.write(df, str(tmp_path / fmt), fmt)
+    if fmt == "csv":
+        got = [(r["line"], r["cnt"]) for r in spark.read.csv(str(tmp_path / fmt), header=True, escape='"').orderBy("line").collect()]
+        assert got == [("a,\"b", "2"), ("c", "1")]
+    else:
+        assert sorted(r[0] for r in spark.read.text(str(tmp_path / fmt)).collect()) == sorted(want)
 
 
 def test_column_lines(spark):
@@ -146,16 +180,25 @@ def test_streams(spark, tmp_path):
     assert {r["line"] for r in got.collect()} == want
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     src = tmp_path / "in.txt"
     src.write_text("a\nb\na\n")
     assert cli.main([str(src)]) == 0
     assert capsys.readouterr().out.split() == ["a", "b"]
-    assert cli.main([str(src), "-D", "-f", "json", "-s"]) == 0
+    assert cli.main([str(src), "-c"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["2 a", "1 b"]
+    assert cli.main([str(src), "-D", "-s"]) == 0
     out = capsys.readouterr()
-    assert json.loads(out.out) == {"line": "a"} and json.loads(out.err.splitlines()[-1])["duplicate_lines"] == 1
+    assert out.out == "a\n" and json.loads(out.err.splitlines()[-1])["duplicate_lines"] == 1
+    assert cli.main([str(src), "-s", "-c", "-f", "json"]) == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["lines"] == [{"line": "a", "cnt": 2}, {"line": "b", "cnt": 1}] and doc["statistics"]["total_lines"] == 3
     assert cli.main([str(src), "-b", "scaling", "--out", str(tmp_path / "o")]) == 0
     assert spark.read.text(str(tmp_path / "o")).count() == 2
     assert cli.main([str(src), "-e", "7"]) == 2
+    for args in ([], ["-"]):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"".join(b"%d\n" % (i % 150) for i in range(300)))))
+        assert cli.main(args) == 0
+        assert capsys.readouterr().out.split() == [str(i) for i in range(150)]
     with pytest.raises(SystemExit):
         cli.main(["--version"])
