@@ -179,14 +179,14 @@ def test_near_repeats_batch_by_batch(spark, tmp_path):
 
 def test_near_repeats_with_as_many_buckets_as_tasks(spark, tmp_path):
     """The tables' own clustering must not be taken for that of the rows which meet."""
-    rows = random_prose(1600, 17)
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    rows = random_prose(700, 17)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
     try:
-        history = LineHistory(spark, str(tmp_path / "h"), rows_per_bucket=4000)
+        history = LineHistory(spark, str(tmp_path / "h"), rows_per_bucket=2000)
         for b in range(4):
             history.accept(table(spark, rows).where(F.col("batch_id") == b), f"p{b}", batch=b)
             if b == 0:
-                assert history.table.buckets == 24
+                assert history.table.buckets == 12
         got = {r["id"] for r in history.verdicts([f"p{b}" for b in range(4)]).where("exact or near").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
