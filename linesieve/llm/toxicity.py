@@ -362,8 +362,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     votes = labels.where("toxic is not null").groupBy(F.col(id_col).alias("_id")).agg(F.avg("toxic").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(votes, "_id").where(F.col("_text").isNotNull())
-    upto = F.sum(F.length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")))  # of the sample only
-    got = texts.withColumn("_upto", upto).where(F.col("_upto") <= max_characters).select("_id", "_text", "y").toPandas().sort_values("_id", kind="stable")
+    texts = texts.withColumn("_hash", F.xxhash64("_text"))
+    upto = F.sum("_length").over(Window.orderBy(F.xxhash64("_id"), "_id", "_hash"))  # over lengths, at most a row a labelled document
+    kept = texts.select("_id", "_hash", F.length("_text").alias("_length")).withColumn("_upto", upto).where(F.col("_upto") <= max_characters)
+    got = texts.join(kept.select("_id", "_hash"), ["_id", "_hash"], "left_semi").select("_id", "_text", "y").toPandas().sort_values("_id", kind="stable")
     return fit(list(zip(got["_text"], got["y"])), **options)
 
 

@@ -346,7 +346,7 @@ def test_held_out_documents(spark, sf_dir):
     assert (calm >= m.threshold).mean() < 0.03 and (hit >= m.threshold).mean() > 0.6  # about a quarter of the positive labels are wrong
 
 
-def test_rates_and_edges(spark, model):
+def test_rates_and_edges(spark, model, monkeypatch):
     df = spark.createDataFrame([(1, "you are a stupid idiot", "A b", 1), (2, None, "a_B", 2), (3, "", None, 3), (3, "The river is long.", None, 3)], "doc_id bigint, text string, source string, score int")
     got = toxicity.scored(df, model, keep={"source": "source"})
     assert got.count() == 4
@@ -354,4 +354,12 @@ def test_rates_and_edges(spark, model):
     assert r == {"a_b": (2, 1), None: (2, 0)}
     assert toxicity.scored(df.where("false"), model).count() == 0
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda documents, **_: taken.append(len(documents)))
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(40)], "doc_id bigint, text string")
+    votes = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, None)], "doc_id bigint, toxic int")
+    for bounds in ({}, {"max_labelled": 12}, {"max_characters": 75}):
+        toxicity.train(docs, votes, **bounds)
+    assert taken == [30, 12, 7]
+    monkeypatch.undo()
     assert toxicity.train(df, none).score("you stupid idiot") > 0.5
