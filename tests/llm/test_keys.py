@@ -340,3 +340,65 @@ def test_stored_sets_are_not_paired_again():
     for hot in (256, 2):
         got = [p for b in history_module._meet(hot, 3)(iter([rows])) for p in zip(b["set_id"].to_pylist(), b["other"].to_pylist()) if p[1] is not None]
         assert got and {a for a, _ in got} == {13}
+
+
+def test_band_keys_meet_without_a_step_each():
+    """A quarter of a million band keys of two or three sets, cut into batches anywhere: pairs as by brute force, and fast."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = np.sort(rng.integers(0, 250_000, 600_000)), rng.integers(0, 2**62, 600_000), np.zeros(600_000, np.int64)
+    firsts = rng.integers(0, 4, 600_000)
+    order = np.lexsort((firsts, rows[0]))
+    t = pa.RecordBatch.from_arrays([pa.array(rows[0][order]), pa.array(rows[1][order]), pa.array(firsts[order])], names=["band", "set_id", "first"])
+    began = time.perf_counter()
+    got = [b for b in history_module._meet(256, 3)(iter([t.slice(k, 9_973) for k in range(0, t.num_rows, 9_973)]))]
+    took = time.perf_counter() - began
+    members, want = defaultdict(list), set()
+    for band, i, f in zip(*(t.column(k).to_pylist() for k in range(3))):
+        members[band].append((i, f))
+    for found in members.values():
+        want |= {(a, b) for a, fa in found if fa >= 3 for b, fb in found if fb < fa}
+    assert {p for b in got for p in zip(b["set_id"].to_pylist(), b["other"].to_pylist())} == want
+    assert took < 3  # seconds; one step of the interpreter a band key took 10
+
+
+def test_buckets_are_those_of_spark(spark):
+    keys = [0, -1, 1, 2**63 - 1, -(2**63), *np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 200).tolist()]
+    df = spark.createDataFrame([(k,) for k in keys], "key bigint")
+    for n in (1, 12, 600):
+        want = [r[0] for r in df.selectExpr(f"pmod(hash(key), {n})").collect()]
+        assert keyed_table.buckets_of(np.array(keys), n).tolist() == want
+
+
+def test_a_large_batch_is_written_once_into_buckets(spark, tmp_path):
+    """The buckets are made before the first rows of a batch that will fill them come, not by writing them again."""
+    history = LineHistory(spark, str(tmp_path / "h"), rows_per_bucket=1000)
+    rows = random_prose(700, 19)
+    for b in range(2):
+        history.accept(table(spark, rows).where(F.col("batch_id") == b), f"p{b}", batch=b)
+    (folder,) = (tmp_path / "h" / "keys").iterdir()
+    assert folder.name.startswith("000000-") and history.table.buckets >= 4
+    assert history.table.n == history.table.rows().count() == history.table.rows(only="p0").count() + history.table.rows(only="p1").count()
+    assert len(list(folder.glob("*.parquet"))) <= 2 * history.table.buckets
+
+
+def test_items_are_read_once_for_all_batches(spark, monkeypatch):
+    from linesieve.llm import queries
+
+    rows, read = random_prose(600, 23), spark.sparkContext.accumulator(0)
+    rows += [(1000 + k, None, "s", k, r[4], 1) for k, r in enumerate(rows[:30])]  # the batch without a number comes first
+
+    def seen(r):
+        read.add(1)
+        return r
+
+    items = spark.createDataFrame(spark.sparkContext.parallelize([(r[0], r[1], r[4]) for r in rows], 3).map(seen), "item_id bigint, batch_id int, line string")
+    past = spark.createDataFrame([(1, rows[3][4]), (2, "of nobody")], "line_id bigint, line string")
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: items if name == "work_item_t" else past)
+    got = {r["item_id"] for r in queries.p4_found(spark, "").collect()}
+    want = near_truth([(i, -1 if b is None else b, s, o, line, c) for i, b, s, o, line, c in rows], [rows[3][4], "of nobody"])
+    assert not got - want and len(want - got) <= 0.01 * len(want)
+    assert read.value == len(rows)
